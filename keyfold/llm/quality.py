@@ -34,7 +34,7 @@ class Rules:
     line_chars: float = 0.30
     symbols_per_word: float = 0.30
     min_words: int = 10
-    repeat_words: float = 0.20
+    repeat_percent: int = 20
 
 
 #: Bytes that are not the first of a code point.
@@ -116,7 +116,7 @@ def _repeated_lines(data, line_starts, line_ends, off, starts, chars) -> tuple[n
 
 def verdicts(m: dict[str, np.ndarray], rules: Rules) -> tuple[np.ndarray, np.ndarray]:
     """(base_failed, kept)."""
-    base_failed = (m["n_words"] < rules.min_words) | (m["n_repeat_words"] > rules.repeat_words * m["n_words"])
+    base_failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.repeat_percent * m["n_words"])
     bad = (m["line_share"] > rules.line_chars) | (m["n_symbols"] > rules.symbols_per_word * m["n_words"])
     for n, most in rules.grams:
         bad |= m[f"gram{n}_share"] > most
