@@ -5,8 +5,9 @@
 2. Distinct fingerprints only go on; copies of a text never meet as pairs.
 3. Two fingerprints within `distance` bits agree on all bits of at least
    `blocks - distance` of `blocks` bit blocks, so each fingerprint is sent to one
-   bucket per choice of that many blocks. The number of blocks follows the number
-   of fingerprints, so that buckets stay small as the data grows.
+   bucket per choice of that many blocks: 15 buckets of 21 bits for 6 blocks. Beyond
+   some hundred million fingerprints, 7 blocks (35 buckets of 27 bits) keep buckets
+   small; the results are the same.
 4. In a bucket, each fingerprint has its row of the pivot table: Hamming distances to
    `PIVOTS` reference fingerprints. By the triangle inequality no coordinate of a
    linked pair differs by more than `distance`: sorted by the first coordinate, only
@@ -31,7 +32,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pandas as pd
@@ -97,15 +97,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # ---------------------------------------------------------------- candidates and links
 
 
-def block_plan(count: int, distance: int, bucket: int = 32) -> tuple[list[int], int]:
-    """Bit blocks and how many of them linked fingerprints share for sure; buckets of about `bucket` rows."""
-    for blocks in range(distance + 1, distance + 6):
-        share = blocks - distance
-        if count / 2 ** (64 * share // blocks) <= bucket:
-            break
+def block_masks(blocks: int, distance: int) -> list[int]:
+    """Bits of each choice of the `blocks - distance` bit blocks that linked fingerprints share for sure."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(blocks)]
-    return [sum(masks[i] for i in pick) for pick in combinations(range(blocks), share)], comb(blocks, share)
+    masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
+    return [sum(masks[i] for i in pick) for pick in combinations(range(blocks), blocks - distance)]
 
 
 def pivot_codes() -> np.ndarray:
@@ -203,9 +199,9 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[
         yield links(*(np.concatenate(v) for v in held.values()))
 
 
-def links(distinct: DataFrame, count: int, distance: int = 4, bucket_rows: int = 20_000) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 4, blocks: int = 6, bucket_rows: int = 20_000) -> DataFrame:
     """(a, b): links that join the same fingerprints as all pairs within `distance` do. distinct: (fp)."""
-    masks, _ = block_plan(count, distance)
+    masks = block_masks(blocks, distance)
     rows = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks))).alias("choice", "bits"))
     rows = rows.select("fp", F.xxhash64("choice", "bits").alias("bucket"))
     hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
@@ -235,11 +231,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
     """(id, fp long, component_id): component_id is the smallest id reachable over links."""
     fps = C.saved(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = C.saved(fps.groupBy("fp").agg(F.min(id_col).alias("node")), "nodes")
-    found = links(nodes.select("fp"), nodes.count(), distance)
+    found = links(nodes.select("fp"), distance, blocks)
     edges = found.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
     # one id may stand for several fingerprints where rows repeat an id with another text
     labels = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -247,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
     """One document of each component stays, that with the smallest id, with all its columns."""
-    gone = near_duplicates(docs, id_col, text_col, words, distance).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, words, distance, blocks).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

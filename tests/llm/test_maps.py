@@ -86,8 +86,8 @@ def test_links_in_hot_buckets(spark):
     prints = {int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 63, (60, 2))}
     df = spark.createDataFrame([(x,) for x in prints], "fp long")
     want = plain.components({x: x for x in prints})
-    for bucket_rows in (7, 20_000):
-        edges = simhash.links(df, len(prints), bucket_rows=bucket_rows)
+    for bucket_rows, blocks in ((7, 6), (20_000, 6), (20_000, 7), (9, 5)):
+        edges = simhash.links(df, blocks=blocks, bucket_rows=bucket_rows)
         got = {r.node: r.label for r in simhash.components(edges).collect()}
         assert {x: got.get(x, x) for x in prints} == want
 
