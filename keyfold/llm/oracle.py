@@ -71,3 +71,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT over_limits AS kept
 FROM r
 """
+
+ORACLES["op3_url_filter"] = r"""
+WITH p AS (
+  SELECT page_id, nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.'), '') AS host,
+         1704067200 + page_id * 7919 % 365 * 86400 AS fetched
+  FROM pages
+), s AS (
+  SELECT page_id, host, fetched, unnest(list_transform(range(1, greatest(len(l) - 1, 1) + 1), lambda i: array_to_string(l[i:], '.'))) AS pattern
+  FROM (SELECT *, string_split(host, '.') AS l FROM p WHERE host IS NOT NULL)
+), n AS (
+  SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS BIGINT) AS h FROM (SELECT DISTINCT pattern FROM s)
+), e AS (
+  SELECT pattern, h, (['adult', 'malware', 'phishing', 'spam'])[h % 4 + 1] AS list, 1704067200 + h % 200 * 86400 AS at FROM n WHERE h % 5 <> 0
+), c AS (
+  SELECT list, pattern, at, 'add' AS op FROM e
+  UNION ALL SELECT list, pattern, at + (1 + h % 60) * 86400, 'remove' FROM e
+  UNION ALL SELECT list, pattern, at + (100 + h % 50) * 86400, 'add' FROM e WHERE h % 3 = 0
+), i AS (
+  SELECT list, pattern, at AS added, until FROM (
+    SELECT *, lead(at) OVER (PARTITION BY list, pattern ORDER BY at) AS until FROM (SELECT list, pattern, at, max(op) AS op FROM c GROUP BY 1, 2, 3)
+  ) WHERE op = 'add'
+), m AS (
+  SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, string_agg(DISTINCT s.pattern, ',' ORDER BY s.pattern) AS patterns
+  FROM s JOIN i ON s.pattern = i.pattern AND added <= fetched AND (until IS NULL OR fetched < until) GROUP BY page_id
+)
+SELECT page_id, host, CAST(fetched AS BIGINT) AS fetched, coalesce(lists, '') AS lists, coalesce(patterns, '') AS patterns, lists IS NOT NULL AS blocked
+FROM p LEFT JOIN m USING (page_id)
+"""
+
+ORACLES["op5_warc"] = r"""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
