@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyfold.functions.scratch import written
 from keyfold.plans.fold import commands, is_write
 
 
@@ -37,30 +38,45 @@ def watched(log: DataFrame) -> DataFrame:
     return closed.join(execs, ["conn", "exec_seq"]).select("conn", "txn", "db", "key", F.col("seq").alias("watch_seq"), "exec_seq")
 
 
-def outcomes(log: DataFrame) -> DataFrame:
+def outcomes(log: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(conn, txn, exec_seq, queued, aborted) of every EXEC: aborted if a watched key was written between WATCH and EXEC.
 
-    Writes count at the seq they take effect: a queued one at its EXEC, if that one isn't
-    aborted by an earlier write in turn; here the log's own order of effects is taken, so
-    queued writes of other connections count at their EXEC.
+    A queued write counts at its EXEC, and only if that one isn't aborted itself. So all
+    are first taken to commit, and each round leaves out the writes of those found
+    aborted, until nothing changes: an outcome rests on earlier ones only, so each round
+    settles at least the earliest that was open.
     """
-    rows = sessions(log)
+    rows = written(sessions(log), "sessions")
     execs = rows.where("role = 'exec'").select("conn", "txn", F.col("seq").alias("exec_seq"))
     queued = rows.where("role = 'queued'").groupBy("conn", "txn").agg(F.count("*").alias("queued"))
-    direct = rows.where(is_write(F.col("name")) & (F.col("role") == "none")).select("db", "key", F.col("seq").alias("at"), F.lit(None).cast("long").alias("by"))
-    inside = rows.where(is_write(F.col("name")) & (F.col("role") == "queued")).join(execs, ["conn", "txn"]).select("db", "key", F.col("exec_seq").alias("at"), F.col("conn").alias("by"))
-    # per key the next write after each watch: an as-of lookup by window, no range join
-    watches = watched(log)
+    watches = written(watched(log), "watched")
+    direct = rows.where(is_write(F.col("name")) & (F.col("role") == "none")).select("db", "key", F.col("seq").alias("at"))
+    inside = rows.where(is_write(F.col("name")) & (F.col("role") == "queued")).join(execs, ["conn", "txn"]).select("conn", "txn", "db", "key", F.col("exec_seq").alias("at"))
     flushes = rows.where("name = 'FLUSHDB' and role = 'none'").select("db", F.col("seq").alias("at"))
-    touched = watches.select("db", "key").distinct()
-    writes = direct.unionByName(inside).unionByName(touched.join(flushes, "db").select("db", "key", "at", F.lit(None).cast("long").alias("by")))
-    events = writes.select("db", "key", F.col("at").alias("seq"), "at", F.lit(None).cast("long").alias("conn"), F.lit(None).cast("long").alias("txn"), F.lit(None).cast("long").alias("exec_seq")).unionByName(
-        watches.select("db", "key", F.col("watch_seq").alias("seq"), F.lit(None).cast("long").alias("at"), "conn", F.col("txn").cast("long").alias("txn"), "exec_seq")
+    direct = direct.unionByName(watches.select("db", "key").distinct().join(flushes, "db").select("db", "key", "at"))
+    direct, inside = written(direct, "direct-writes"), written(inside, "queued-writes")
+    aborted = None
+    for _ in range(most_rounds):
+        effective_writes = inside if aborted is None else inside.join(aborted, ["conn", "txn"], "left_anti")
+        new = written(_overtaken(watches, direct.unionByName(effective_writes.select("db", "key", "at"))), "aborted")
+        if aborted is not None and new.exceptAll(aborted).isEmpty() and aborted.exceptAll(new).isEmpty():
+            break
+        aborted = new
+    else:
+        raise RuntimeError(f"outcomes did not settle in {most_rounds} rounds")
+    flags = aborted.withColumn("aborted", F.lit(True))
+    return execs.join(queued, ["conn", "txn"], "left").join(flags, ["conn", "txn"], "left").select("conn", "txn", "exec_seq", F.coalesce("queued", F.lit(0)).alias("queued"), F.coalesce("aborted", F.lit(False)).alias("aborted"))
+
+
+def _overtaken(watches: DataFrame, writes: DataFrame) -> DataFrame:
+    """(conn, txn) with a write to a watched key after the watch and before the EXEC: the next write after each watch, by a window."""
+    none = lambda kind: F.lit(None).cast(kind)
+    events = writes.select("db", "key", F.col("at").alias("seq"), "at", none("long").alias("conn"), none("long").alias("txn"), none("long").alias("exec_seq")).unionByName(
+        watches.select("db", "key", F.col("watch_seq").alias("seq"), none("long").alias("at"), "conn", F.col("txn").cast("long").alias("txn"), "exec_seq")
     )
     after = Window.partitionBy("db", "key").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
     hit = events.withColumn("next", F.first("at", ignorenulls=True).over(after)).where("conn is not null")
-    bad = hit.groupBy("conn", "txn").agg(F.max((F.col("next") < F.col("exec_seq")).cast("int")).alias("bad"))
-    return execs.join(queued, ["conn", "txn"], "left").join(bad, ["conn", "txn"], "left").select("conn", "txn", "exec_seq", F.coalesce("queued", F.lit(0)).alias("queued"), (F.coalesce("bad", F.lit(0)) == 1).alias("aborted"))
+    return hit.where("next < exec_seq").select("conn", "txn").distinct()
 
 
 def effective(log: DataFrame) -> DataFrame:
