@@ -29,7 +29,7 @@ def sessions(log: DataFrame) -> DataFrame:
 def watched(log: DataFrame) -> DataFrame:
     """(conn, txn, db, key, watch_seq, exec_seq): keys that an EXEC has to find unchanged. EXEC, DISCARD and UNWATCH drop watches."""
     rows = sessions(log)
-    ends = rows.where("role in ('exec', 'discard') or name = 'UNWATCH'").select("conn", F.col("seq").alias("end"))
+    ends = rows.where("role in ('exec', 'discard') or name = 'UNWATCH' and role = 'none'").select("conn", F.col("seq").alias("end"))
     watch = rows.where("name = 'WATCH' and role = 'none'").select("conn", "db", "seq", F.explode(F.concat(F.array("key"), "args")).alias("key"))
     marks = watch.select("conn", "seq", "db", "key", F.lit(None).cast("long").alias("end")).unionByName(ends.select("conn", F.col("end").alias("seq"), F.lit(None).cast("int").alias("db"), F.lit(None).cast("string").alias("key"), "end"))
     following = F.first("end", ignorenulls=True).over(_conn().rowsBetween(1, Window.unboundedFollowing))
