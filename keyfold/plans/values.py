@@ -142,6 +142,12 @@ def list_push(t: Tables) -> DataFrame:
     return lists.push(t.lists, more, head=True).select("key", "pos", "value")
 
 
+@query(with_("lst", body="SELECT key, CAST(pos AS BIGINT) AS pos, value FROM lst UNION ALL SELECT 'u:' || o_custkey AS key, coalesce(high, -1) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey), o_orderstatus FROM orders LEFT JOIN (SELECT key, max(pos) AS high FROM lst GROUP BY key) e ON e.key = 'u:' || o_custkey"))
+def list_rpush(t: Tables) -> DataFrame:
+    more = t.table("orders").select(db(), F.concat(F.lit("u:"), "o_custkey").alias("key"), F.col("o_orderkey").alias("arg"), F.col("o_orderstatus").alias("value"))
+    return lists.push(t.lists, more, head=False).select("key", "pos", "value")
+
+
 @query(with_("lst", body="SELECT key, min_by(value, pos) AS value FROM lst GROUP BY key"))
 def list_lpop(t: Tables) -> DataFrame:
     return lists.pop(t.lists, head=True).select("key", "value")
@@ -211,6 +217,22 @@ def list_blpop_priority(t: Tables) -> DataFrame:
     return lists.blocking_pop(t.lists, asked)
 
 
+@query(
+    with_(
+        "lst",
+        body="""SELECT request, key, value FROM (
+  SELECT request, key, row_number() OVER (PARTITION BY key ORDER BY request) AS n FROM (
+    SELECT request, min_by(k, arg) AS key FROM (SELECT c_custkey AS request, unnest([0, 1, 2]) AS arg, unnest(['none', 'u:' || (c_custkey % 211), 'u:' || (c_custkey % 7)]) AS k FROM customer)
+    WHERE k IN (SELECT key FROM lst) GROUP BY request)
+) LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos DESC) AS n FROM lst) USING (key, n)""",
+    )
+)
+def list_brpop_priority(t: Tables) -> DataFrame:
+    name = lambda m: F.concat(F.lit("u:"), (F.col("c_custkey") % m).cast("string"))
+    asked = t.table("customer").select(db(), F.col("c_custkey").alias("request"), F.array(F.lit("none"), name(211), name(7)).alias("keys"))
+    return lists.blocking_pop(t.lists, asked, head=False)
+
+
 # ---------------------------------------------------------------- sets
 
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from keyfold.plans import keys_and_streams, live, logs, values  # noqa: F401
+from keyfold.plans import catalogue, keys_and_streams, live, logs, values  # noqa: F401
 from keyfold.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,6 +48,13 @@ def test_only_random_queries_have_no_twin():
     assert set(QUERIES) - set(ORACLES) == {"key_random", "set_spop", "set_srandmember"}
 
 
+def test_catalogue_names_queries():
+    named = {q for names in catalogue.COMMANDS.values() for q in names.split()}
+    assert named <= set(QUERIES)
+    assert len(catalogue.COMMANDS) + len(catalogue.WITHOUT_QUERY) == 139
+    assert not set(catalogue.COMMANDS) & set(catalogue.WITHOUT_QUERY)
+
+
 def test_entry(spark):
     import __spark_entry__
 
