@@ -78,19 +78,19 @@ WITH p AS (
          1704067200 + page_id * 7919 % 365 * 86400 AS fetched
   FROM pages
 ), s AS (
-  SELECT page_id, host, fetched, unnest(list_transform(range(1, greatest(len(l) - 1, 1) + 1), lambda i: array_to_string(l[i:], '.'))) AS pattern
+  SELECT page_id, host, fetched, unnest(list_transform(range(1, greatest(len(l) - 1, 1) + 1), lambda i: array_to_string(l[i : len(l)], '.'))) AS pattern
   FROM (SELECT *, string_split(host, '.') AS l FROM p WHERE host IS NOT NULL)
 ), n AS (
   SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS BIGINT) AS h FROM (SELECT DISTINCT pattern FROM s)
 ), e AS (
-  SELECT pattern, h, (['adult', 'malware', 'phishing', 'spam'])[h % 4 + 1] AS list, 1704067200 + h % 200 * 86400 AS at FROM n WHERE h % 5 <> 0
+  SELECT pattern, h, (['adult', 'malware', 'phishing', 'spam'])[h % 4 + 1] AS list, 1704067200 + h % 200 * 86400 AS t FROM n WHERE h % 5 <> 0
 ), c AS (
-  SELECT list, pattern, at, 'add' AS op FROM e
-  UNION ALL SELECT list, pattern, at + (1 + h % 60) * 86400, 'remove' FROM e
-  UNION ALL SELECT list, pattern, at + (100 + h % 50) * 86400, 'add' FROM e WHERE h % 3 = 0
+  SELECT list, pattern, t, 'add' AS op FROM e
+  UNION ALL SELECT list, pattern, t + (1 + h % 60) * 86400, 'remove' FROM e
+  UNION ALL SELECT list, pattern, t + (100 + h % 50) * 86400, 'add' FROM e WHERE h % 3 = 0
 ), i AS (
-  SELECT list, pattern, at AS added, until FROM (
-    SELECT *, lead(at) OVER (PARTITION BY list, pattern ORDER BY at) AS until FROM (SELECT list, pattern, at, max(op) AS op FROM c GROUP BY 1, 2, 3)
+  SELECT list, pattern, t AS added, until FROM (
+    SELECT *, lead(t) OVER (PARTITION BY list, pattern ORDER BY t) AS until FROM (SELECT list, pattern, t, max(op) AS op FROM c GROUP BY 1, 2, 3)
   ) WHERE op = 'add'
 ), m AS (
   SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, string_agg(DISTINCT s.pattern, ',' ORDER BY s.pattern) AS patterns
