@@ -27,6 +27,14 @@ def subscription_counts(log: DataFrame) -> DataFrame:
     return steps.select("conn", "seq", F.sum("step").over(Window.partitionBy("conn").orderBy("seq")).alias("n"))
 
 
+def checked_patterns(subs: DataFrame) -> DataFrame:
+    """(topic): distinct patterns, of which there may be MOST_PATTERNS."""
+    patterns = subs.where("kind = 'pattern'").select("topic").distinct()
+    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} distinct patterns")
+    return patterns
+
+
 def route(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """(msg, conn, via, topic): each connection gets a message once, by its channel before any pattern, then by the least pattern.
 
@@ -34,14 +42,14 @@ def route(messages: DataFrame, subs: DataFrame) -> DataFrame:
     distinct channels only, and what matched joins back by channel.
     """
     exact = subs.where("kind = 'channel'").select(F.col("topic").alias("channel"), "conn", F.lit("channel").alias("via"), "topic")
-    patterns = subs.where("kind = 'pattern'").select("topic").distinct()
-    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} distinct patterns")
+    patterns = checked_patterns(subs)
     channels = messages.select("channel").distinct()
-    # a pattern's text before its first special character cuts the candidates by their first character
+    # a pattern that starts with a plain character meets only channels with that character
     head = F.regexp_extract("topic", r"^[^*?\\]", 0)
-    patterns = F.broadcast(patterns.select("topic", head.alias("head")))
-    pairs = channels.join(patterns, (F.col("head") == "") | (F.substring("channel", 1, 1) == F.col("head"))).where(F.rlike("channel", regex_column(F.col("topic"))))
+    patterns = patterns.select("topic", head.alias("head"), regex_column(F.col("topic")).alias("regex"))
+    headed = channels.withColumn("head", F.substring("channel", 1, 1)).join(F.broadcast(patterns.where("head != ''")), "head")
+    free = channels.join(F.broadcast(patterns.where("head = ''")), F.rlike("channel", F.col("regex")))
+    pairs = headed.where(F.rlike("channel", F.col("regex"))).select("channel", "topic").unionByName(free.select("channel", "topic"))
     by_pattern = pairs.join(subs.where("kind = 'pattern'").select("topic", "conn"), "topic").select("channel", "conn", F.lit("pattern").alias("via"), "topic")
     wanted = exact.unionByName(by_pattern).groupBy("channel", "conn").agg(F.min(F.struct("via", "topic")).alias("best"))
     return messages.select("msg", "channel").join(wanted, "channel").select("msg", "conn", "best.via", "best.topic")

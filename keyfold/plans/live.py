@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ def _events(t: Tables) -> DataFrame:
     return jobs.as_stream(f"{t.sf_dir}/event[s].parquet", t.table("events")).withColumn("ts", jobs.utc("ts"))
 
 
-def _ran(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
+def _ran(t: Tables, stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     path = fresh_path(t.spark, "stream")
-    jobs.run_available(stream, f"{path}/rows", f"{path}/checkpoint", mode)
+    jobs.run_available(stream, f"{path}/rows", f"{path}/checkpoint", mode, each)
     return t.spark.read.parquet(f"{path}/rows")
 
 
@@ -45,7 +47,7 @@ def streaming_sessions(t: Tables) -> DataFrame:
 @query(f"WITH {_SUBS}, {_MSG}, {_ROUTE} SELECT msg, conn, via, topic FROM routed")
 def streaming_router(t: Tables) -> DataFrame:
     messages = _events(t).select(F.col("event_id").alias("msg"), F.concat_ws(".", "event_type", "user_id").alias("channel"))
-    return _ran(t, jobs.router(messages, _subs(t))).select("msg", "conn", "via", "topic")
+    return _ran(t, messages, each=jobs.router(_subs(t))).select("msg", "conn", "via", "topic")
 
 
 @query("SELECT key, ms, event_id AS seq, 'w' || (n % 3) AS consumer, n AS nth FROM (SELECT event_type AS key, epoch_us(ts) // 1000 AS ms, event_id, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS n FROM events)")

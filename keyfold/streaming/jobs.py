@@ -7,7 +7,7 @@ parallel across keys. It lives in the checkpoint, so a lost executor loses nothi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,15 +30,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return counted.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def router(messages: DataFrame, subs: DataFrame) -> DataFrame:
-    """(msg, conn, via, topic): a stream of messages against a table of subscriptions, once per connection."""
-    exact = subs.where("kind = 'channel'").select("conn", "kind", "topic", F.lit(None).cast("string").alias("regex"))
-    pattern = subs.where("kind = 'pattern'").select("conn", "kind", "topic", pubsub.regex_column(F.col("topic")).alias("regex"))
-    by_conn = exact.unionByName(pattern).groupBy("conn").agg(F.array_sort(F.collect_list(F.struct("kind", "topic", "regex"))).alias("all"))
-    by_conn = by_conn.limit(pubsub.MOST_PATTERNS)
-    hits = F.filter("all", lambda s: ((s["kind"] == "channel") & (s["topic"] == F.col("channel"))) | ((s["kind"] == "pattern") & F.rlike(F.col("channel"), s["regex"])))
-    found = messages.crossJoin(F.broadcast(by_conn)).withColumn("hit", F.get(hits, F.lit(0))).where("hit is not null")
-    return found.select("msg", "conn", F.col("hit.kind").alias("via"), F.col("hit.topic").alias("topic"))
+def router(subs: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What to do with each batch of messages (msg, channel): the batch operator. A message needs no state."""
+    return lambda batch: pubsub.route(batch, subs)
 
 
 def group_delivery(entries: DataFrame, consumers: int) -> DataFrame:
@@ -95,15 +89,15 @@ def live_counters(log: DataFrame) -> DataFrame:
     return log.groupBy("key").applyInPandasWithState(fold, "key string, value long", "value long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what the source holds, in micro-batches, and write the rows to Parquet.
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Process what the source holds, in micro-batches, and write the rows, or what `each` makes of them, to Parquet.
 
     A batch is written under its own number and overwrites what an earlier attempt left,
     so each batch counts once. In complete and update mode read the newest by `batch`.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
