@@ -32,7 +32,8 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "key64", "keyhex")
 # Fixed patterns; the first is for lower-cased bytes.
 _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-_TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+# A run is tried from its start only, and without going back: linear in any text.
+_TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
 _PEM_HEAD = re.compile(rb"-----BEGIN ([A-Z0-9 ]{1,40})-----")
 _PAD = re.compile(rb"={0,2}")
 _HEX = C.byte_table(lambda b: b in b"0123456789abcdef")
@@ -156,11 +157,10 @@ def is_signed_token(token: bytes) -> bool:
 
 
 def pem_end(data: bytes, head: re.Match) -> int:
-    """End of the block if its body decodes to a key, else -1."""
+    """End of the block if its body, which has no further dashes, decodes to a key; else -1. Rows are a zero byte apart."""
     tail = b"-----END " + head[1] + b"-----"
-    at = data.find(tail, head.end())
-    stop = data.find(b"\x00", head.end())  # rows are 0 apart
-    if at < 0 or 0 <= stop < at:
+    at = data.find(b"-----", head.end())
+    if at < 0 or not data.startswith(tail, at) or b"\x00" in data[head.end() : at]:
         return -1
     lines = data[head.end() : at].splitlines()
     body = b"".join(x.strip() for x in lines if b":" not in x)

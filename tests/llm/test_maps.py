@@ -185,6 +185,15 @@ def test_secret_kinds():
     assert [(s, k, e) for s, k, e in secrets.find_spans(pa.array([texts[6]]))[0] if k < 3] == plain.base_spans(texts[6])
 
 
+def test_hostile_texts_take_linear_time():
+    import time
+
+    began = time.process_time()
+    texts = ["eyJ" * 200_000, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "token" + " " * 500_000, "A" * 600_000, "30" * 300_000, "." * 500_000, "eyJ." * 100_000]
+    assert all(all(k < 3 for _, k, _ in x) for x in secrets.find_spans(pa.array(texts)))
+    assert time.process_time() - began < 20
+
+
 def test_scan_and_redact(docs, odd, none):
     for df in (docs, odd):
         want = sorted((str(r.doc_id), *(sum(k == kind for _, k, _ in plain.base_spans(r.text)) for kind in range(3)), plain.digest(secrets.said(plain.base_spans(r.text)))) for r in df.collect())
