@@ -176,5 +176,5 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no span of the benchmark, with all their columns."""
-    gone = contamination(docs, bench, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__gone")).distinct()
+    gone = C.saved(contamination(docs, bench, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__gone")).distinct(), "contaminated")
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
