@@ -38,16 +38,21 @@ def ranked(zsets: DataFrame, descending: bool = False) -> DataFrame:
     return zsets.withColumn("rank", F.row_number().over(per_key(*_order(descending))).cast("long") - 1)
 
 
+def first(zsets: DataFrame, n: int, descending: bool = False) -> DataFrame:
+    """The first n of every key, with rank; the bound is on row_number itself, so that n rows a key go into the shuffle."""
+    rows = zsets.withColumn("nth", F.row_number().over(per_key(*_order(descending)))).where(F.col("nth") <= n)
+    return rows.withColumn("rank", F.col("nth").cast("long") - 1).drop("nth")
+
+
 def range_by_rank(zsets: DataFrame, start: int, stop: int, descending: bool = False) -> DataFrame:
     """ZRANGE, ZREVRANGE. Ranges with ends from the front need no length: a top-k keeps k rows a key before the shuffle."""
-    rows = ranked(zsets, descending)
     if start >= 0 and stop >= 0:
-        return rows.where((F.col("rank") <= stop) & (F.col("rank") >= start))
+        return first(zsets, stop + 1, descending).where(F.col("rank") >= start)
     if start < 0 and stop < 0:  # from the other end: also a top-k
-        back = ranked(zsets, not descending).where((F.col("rank") <= -start - 1) & (F.col("rank") >= -stop - 1))
+        back = first(zsets, -start, not descending).where(F.col("rank") >= -stop - 1)
         sizes = cardinality(zsets)
         return back.join(sizes, KEY).select(*_ROW, "score", (F.col("n") - 1 - F.col("rank")).alias("rank"))
-    return rows.join(cardinality(zsets), KEY).where(inside(F.col("rank"), start, stop, F.col("n"))).drop("n")
+    return ranked(zsets, descending).join(cardinality(zsets), KEY).where(inside(F.col("rank"), start, stop, F.col("n"))).drop("n")
 
 
 def range_by_score(zsets: DataFrame, low: float, high: float) -> DataFrame:
@@ -68,7 +73,7 @@ def increment(zsets: DataFrame, deltas: DataFrame) -> DataFrame:
 
 def pop(zsets: DataFrame, n: int, highest: bool = False) -> DataFrame:
     """ZPOPMIN, ZPOPMAX: the rows taken, with rank."""
-    return ranked(zsets, highest).where(F.col("rank") < n)
+    return first(zsets, n, highest)
 
 
 def popped(zsets: DataFrame, n: int, highest: bool = False) -> DataFrame:
