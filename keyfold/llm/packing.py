@@ -17,6 +17,7 @@ rows are packed one by one; an empty table gives no rows. Other columns are igno
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +32,8 @@ from keyfold.llm import common as C
 
 SEQUENCE = 2048
 PARTITION_PIECES = 16_384
+#: The faster library runs out of stack on blanks without end.
+_BLANKS = re.compile(r"\s{10000}")
 
 
 @dataclass(frozen=True)
@@ -38,7 +41,8 @@ class Tokenizer:
     """A byte-level BPE vocabulary by file names of `public_tokenizers`, or by paths.
 
     The same ids are found by two libraries: the ranks file is the faster by far; a text
-    with a special token's string goes to the other, which gives that token's own id.
+    with a special token's string goes to the other, which gives that token's own id, and
+    so does a text with a very long run of blanks, which only the other can split.
     """
 
     json: str = "byte_bpe_50k.json"
@@ -62,7 +66,7 @@ class Tokenizer:
         slow: list = []
 
         def encode(text: str) -> list[int]:
-            if self.special not in text:
+            if self.special not in text and not (len(text) >= 10_000 and _BLANKS.search(text)):
                 return fast.encode_ordinary(text)
             if not slow:
                 slow.append(Plain.from_file(self._path(self.json)))

@@ -212,7 +212,7 @@ def test_token_pieces(docs, odd):
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     df = docs.select("doc_id", "text").union(odd.where("doc_id != 9").selectExpr("doc_id + 100000", "text"))
-    df = df.union(df.sparkSession.createDataFrame([(200_000, "a <|endoftext|> b\x1c \x85 ١٢ don't")], "doc_id long, text string"))
+    df = df.union(df.sparkSession.createDataFrame([(200_000, "a <|endoftext|> b\x1c \x85 ١٢ don't"), (200_001, "a" + " \n" * 400_000 + "b")], "doc_id long, text string"))
     got = defaultdict(list)
     for r in packing.token_pieces(df).collect():
         got[r.doc_id].append(r)
