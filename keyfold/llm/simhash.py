@@ -43,6 +43,8 @@ from keyfold.llm import common as C
 
 SEED = 42
 PIVOTS = 16
+#: Shingles hashed, and pairs of a bucket compared, at once.
+SHINGLES, PAIRS = 1 << 18, 1 << 21
 _U = np.uint64
 
 
@@ -68,7 +70,11 @@ def fingerprints_of(column: pa.Array, words: int = 4) -> np.ndarray:
     begin = np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
     last = np.minimum(begin + words, np.repeat(first[1:], count))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(buffer[s:e], SEED) for s, e in zip(place[begin].tolist(), (place[last] - 1).tolist(), strict=True)), _U, len(begin))
+    hashes = np.empty(len(begin), _U)
+    for i in range(0, len(begin), SHINGLES):
+        part = slice(i, i + SHINGLES)
+        spans = zip(place[begin[part]].tolist(), (place[last[part]] - 1).tolist(), strict=True)
+        hashes[part] = np.fromiter((digest(buffer[s:e], SEED) for s, e in spans), _U)
     of_row = np.repeat(np.arange(rows), count)
     out = np.zeros(rows, _U)
     bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
@@ -131,13 +137,14 @@ class Forest:
         return x != y
 
 
-def linked_pairs(fp: np.ndarray, side: np.ndarray, distance: int, table: np.ndarray | None = None, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked_pairs(fp: np.ndarray, side: np.ndarray, distance: int, table: np.ndarray | None = None, step: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within `distance`, found with the pivot table; if there are two sides, pairs across them only."""
     table = pivot_table(fp) if table is None else table
     across = bool(side.any())
     order = np.argsort(table[:, 0], kind="stable")
     fp, side, table = fp[order], side[order], table[order]
     reach = np.searchsorted(table[:, 0], table[:, 0] + distance, side="right")
+    step = step or max(1, min(512, PAIRS // max(1, len(fp))))
     for i in range(0, len(fp), step):
         to = int(reach[min(i + step, len(fp)) - 1])
         a, b = np.nonzero(~np.tri(min(step, len(fp) - i), to - i, dtype=bool))
