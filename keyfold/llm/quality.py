@@ -60,7 +60,7 @@ def measure(column: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
     share: dict[int, np.ndarray] = {}
     n_repeat = np.zeros(rows, np.int64)
     left = None
-    for n, _ in sorted(rules.grams):
+    for n in sorted({5, *(n for n, _ in rules.grams)}):  # n_repeat_words goes by five words whatever the rules
         grams = C.gram_hashes(words, n)
         at = np.flatnonzero(C.gram_rows(first, n, len(words)))
         if left is not None:
