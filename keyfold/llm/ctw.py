@@ -8,15 +8,18 @@ with the weights that the training text gives them:
 
     P(node) = 1/2 KT(node) + 1/2 product of P(children),   weight = 1/2 KT(node) / P(node)
 
-Training: a map counts byte n-grams and words of whole training texts, combined
-within the task, and Spark sums them; the tree is then built from the deepest level
-up, one aggregation a level. Nothing is sampled.
-
-Scoring: a map. `NODES` nodes at most go to the tasks: those seen 2**j times or more,
-with the smallest j that fits (0 until the tree outgrows the bound), so the broadcast
-has a bound whatever the corpus. A context that was not seen or not sent hands the
-decision to the next shorter one, whose counts cover it. Every decision stays a
-distribution, so scores are probabilities. Each worker remembers scored n-grams.
+Training: a map counts byte n-grams of all texts (0 times in those held out) and words
+of training texts, combined within the task, and Spark sums them; the tree is then
+built from the deepest level up, one aggregation a level. Nothing is sampled.
+
+Scoring: each distinct n-gram of the corpus gets its log10 probability once, from the
+whole tree: nodes and n-grams are dealt by the hash of the nearest `NEAR` context bytes,
+so that a task has all deeper nodes that its n-grams can meet; the shallower ones, whose
+number has a bound, go to all tasks. A context that was not seen hands the decision to
+the next shorter one. Every decision stays a distribution, so scores are probabilities.
+Texts are then read in passes: each has one hash slice of about `SLICE` n-grams as a
+broadcast and adds up their part of each text's score. Nothing is left out: a larger
+corpus takes more passes.
 
 Base score: counts of frequent words (2**j or more occurrences, with the smallest j
 that leaves at most `TOP_WORDS` words) go along; occurrences of other words are
@@ -41,7 +44,10 @@ from pyspark.sql import functions as F
 from keyfold.llm import common as C
 
 DEPTH = 5
-NODES = 2 << 20
+#: Nodes of contexts of fewer bytes go to all tasks.
+NEAR = 3
+#: Nodes and n-grams scored in a task, and n-grams broadcast in a pass.
+DEALT, SLICE = 1 << 20, 2 << 20
 TOP_WORDS = 1 << 20
 #: Symbols handled at once: one takes some 100 bytes on the way.
 PIECE = 1 << 19
@@ -101,10 +107,11 @@ class Tally:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held, self.most = 0, most
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, times: int = 1) -> None:
+        """Each key counts `times`; with 0 it is only known to occur."""
         keys = np.sort(keys)
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        self.parts.append((keys[at], np.diff(np.append(at, len(keys)))))
+        self.parts.append((keys[at], np.diff(np.append(at, len(keys))) * times))
         self.held += len(at)
 
     def full(self) -> bool:
@@ -137,6 +144,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
 
     for piece in C.pieces(batches, "text", PIECE):
+        held = piece.filter(piece.column("held"))
+        for _, grams in Symbols(*C.text_buffer(held.column("text"))).slices() if held.num_rows else ():
+            tallies[_NGRAM].add(grams, 0)
+            if tallies[_NGRAM].full():
+                yield from out(_NGRAM)
+        piece = piece.filter(pc.invert(piece.column("held")))
+        if not piece.num_rows:
+            continue
         data, off = C.text_buffer(piece.column("text"))
         texts += piece.num_rows
         for _, grams in Symbols(data, off).slices():
@@ -249,28 +264,74 @@ def parts(n: int, step: int = 1 << 17) -> list[slice]:
 
 
 class Model:
-    """Of each node sent: the probability of a one, and the weight of stopping there."""
+    """Of each node: the probability of a one, and the weight of stopping there."""
 
     def __init__(self, keys: np.ndarray, p: np.ndarray, w: np.ndarray) -> None:
         self.index = Index(len(keys))
-        self.values = np.zeros((self.index.size, 2), np.float32)
+        self.values = np.zeros((self.index.size, 2))
         for part in parts(len(keys)):
             cells = self.index.add(keys[part])
             self.values[cells, 0], self.values[cells, 1] = p[part], w[part]
 
 
-def model_of(levels: list[DataFrame], most: int = NODES) -> Model:
+def weighted(levels: list[DataFrame]) -> list[DataFrame]:
+    """Nodes by depth, deepest first: (key, p, w), what Model takes."""
     weight = F.when(F.col("ratio").isNull(), 1.0).otherwise(1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.col("ratio")))))
-    nodes = []
-    for depth, level in zip(range(DEPTH, -1, -1), levels, strict=True):
-        seen = F.col("zeros") + F.col("ones")
-        key = F.col("node").bitwiseOR(F.lit((depth + 1) << 56))
-        nodes.append(level.select(key.alias("key"), seen.alias("seen"), ((F.col("ones") + 0.5) / (seen + 1)).cast("float").alias("p"), weight.cast("float").alias("w")))
-    whole = nodes[0]
-    for p in nodes[1:]:
-        whole = whole.unionByName(p)
-    got = whole.where(F.col("seen") >= (1 << least_power(whole, "seen", most))).select("key", "p", "w").toArrow()
-    return Model(got.column("key").to_numpy().view(_U), got.column("p").to_numpy(), got.column("w").to_numpy())
+    p = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    keys = [F.col("node").bitwiseOR(F.lit((depth + 1) << 56)) for depth in range(DEPTH, -1, -1)]
+    return [level.select(key.alias("key"), p.alias("p"), weight.alias("w")) for key, level in zip(keys, levels, strict=True)]
+
+
+def slice_of(grams: np.ndarray, slices: int) -> np.ndarray:
+    return (C.mix(grams) >> _U(32)) % _U(slices)
+
+
+def ngram_scores(ngrams: DataFrame, levels: list[DataFrame], slices: int, dealt: int = DEALT) -> DataFrame:
+    """(key, value, slice): log10 probability of each n-gram's symbol by the whole tree. ngrams: (key), distinct."""
+    nodes = weighted(levels)
+    rows = ngrams.select("key", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("w"))
+    for level in nodes[: DEPTH + 1 - NEAR]:
+        rows = rows.unionByName(level)
+    near = F.shiftright("key", 8).bitwiseAND((1 << (8 * NEAR)) - 1)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(near), F.lit(-(-rows.count() // dealt) or 1)))
+    few = nodes[DEPTH + 1 - NEAR]
+    for level in nodes[DEPTH + 2 - NEAR :]:
+        few = few.unionByName(level)
+    got = few.toArrow()  # contexts of less than NEAR bytes
+    shallow = ngrams.sparkSession.sparkContext.broadcast((got.column("key").to_numpy().view(_U), got.column("p").to_numpy(), got.column("w").to_numpy()))
+
+    def work(group: pa.Table) -> pa.Table:
+        is_node = group.column("p").is_valid().to_numpy()
+        keys = group.column("key").to_numpy().view(_U)
+        own = (keys[is_node], *(group.column(c).drop_null().to_numpy() for c in ("p", "w")))
+        model = Model(*(np.concatenate(x) for x in zip(shallow.value, own, strict=True)))
+        grams = np.sort(keys[~is_node])
+        value = np.concatenate([np.zeros(0), *(Scorer(model, memory=1).mixed(grams[part]) for part in parts(len(grams), 65536))])
+        return pa.table({"key": grams.view(np.int64), "value": value, "slice": slice_of(grams, slices).astype(np.int32)})
+
+    scores = C.saved(rows.groupBy("part").applyInArrow(work, "key long, value double, slice int"), "ngram-scores")
+    shallow.destroy()
+    return scores
+
+
+class Values:
+    """N-gram to log10 probability."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.index = Index(len(keys))
+        self.values = np.zeros(self.index.size)
+        for part in parts(len(keys)):
+            self.values[self.index.add(keys[part])] = values[part]
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """The value, or 0 if it is another slice's."""
+        cell = self.index.find(grams)
+        return np.where(cell >= 0, self.values[cell], 0.0)
+
+
+def values_of(scores: DataFrame, number: int) -> Values:
+    got = scores.where(F.col("slice") == number).select("key", "value").toArrow()
+    return Values(got.column("key").to_numpy().view(_U), got.column("value").to_numpy())
 
 
 class Scorer:
@@ -305,7 +366,7 @@ class Scorer:
                 context = grams & _U(((1 << (8 * depth)) - 1) << 8)
                 cell = self.model.index.find(node_keys(context | prefix, depth))
                 seen = cell >= 0
-                got = self.model.values[cell].astype(np.float64)
+                got = self.model.values[cell]
                 p = np.where(seen, np.where(deeper, got[:, 1] * got[:, 0] + (1 - got[:, 1]) * p, got[:, 0]), p)
                 deeper |= seen
             out += np.log10(np.where(one, p, 1 - p))
@@ -342,32 +403,42 @@ def held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == fold
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, nodes: int = NODES, top_words: int = TOP_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, slice_rows: int = SLICE, dealt: int = DEALT, top_words: int = TOP_WORDS) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    counted = docs.where(~held_out("id", folds, fold)).select("text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counted = docs.select("text", held_out("id", folds, fold).alias("held")).mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counted = C.saved(counted, "counts")
     words = counted.where(F.col("kind") == _WORD).select("key", "n")
     totals = {r["kind"]: (r["v"], r["n"]) for r in counted.groupBy("kind").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
     texts = totals.get(_TEXT, (0, 0))[1]
     n = totals.get(_WORD, (0, 0))[1] + texts
     v = totals.get(_WORD, (0, 0))[0] + (texts > 0)
-    model = spark.sparkContext.broadcast(model_of(tree_levels(counted.where(F.col("kind") == _NGRAM).select("key", "n")), nodes))
+    ngrams = counted.where(F.col("kind") == _NGRAM)
+    slices = -(-totals.get(_NGRAM, (0, 0))[0] // slice_rows) or 1
+    scores = ngram_scores(ngrams.select("key"), tree_levels(ngrams.where("n > 0").select("key", "n")), slices, dealt)
     common = spark.sparkContext.broadcast(frequent(words, top_words))
     floor = math.log10(n + v + 1)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts_of(batches: Iterator[pa.RecordBatch], values, number: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Symbols]]:
+        """(piece, its bytes, offsets, digests, parts of the scores, symbols)."""
         import xxhash
 
-        scorer = Scorer(model.value)
         for piece in C.pieces(batches, "text", PIECE):
             data, off = C.text_buffer(piece.column("text"))
             digest = np.array([xxhash.xxh64_intdigest(data[s:e].tobytes()) for s, e in zip(off[:-1], off[1:], strict=True)], _U)
             text = Symbols(data, off)
             score = np.zeros(piece.num_rows)
-            for number, grams in text.slices():
-                score += text.sums(number, scorer.score(grams))
+            for first, grams in text.slices():
+                value = np.zeros(len(grams))
+                for at in parts(len(grams)):
+                    mine = np.flatnonzero(slice_of(grams[at], slices) == number) if slices > 1 else slice(None)
+                    value[at][mine] = values.value.find(grams[at][mine])
+                score += text.sums(first, value)
+            yield piece, data, off, digest, score, text
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, data, off, digest, score, text in parts_of(batches, values, 0):
             keys, first = tokens(data, off)
             known = common.value.find(keys)
             row = np.repeat(np.arange(piece.num_rows), np.diff(first))
@@ -396,19 +467,34 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns.values()], list(columns))
 
     id_type = docs.schema["id"].dataType.simpleString()
+
+    def further(number: int) -> DataFrame:
+        values = spark.sparkContext.broadcast(values_of(scores, number))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece, _, _, digest, score, _ in parts_of(batches, values, number):
+                yield pa.RecordBatch.from_arrays([piece.column("id"), *(pa.array(x) for x in (digest.view(np.int64), digest.view(np.int64), score))], ["id", "digest", "word", "score"])
+
+        added = C.saved(docs.mapInArrow(add, f"id {id_type}, digest long, word long, score double"), "scores")
+        values.destroy()
+        return added
+
+    values = spark.sparkContext.broadcast(values_of(scores, 0))
     rows = docs.mapInArrow(work, f"id {id_type}, digest long, word long, times long, n_tokens long, n_known long, logs double, score double, symbols long")
-    rows = C.saved(rows, "scores")  # scored once, whatever is lost later; the model can go
-    model.destroy()
+    rows = C.saved(rows, "scores")  # scored once, whatever is lost later; the slice can go
+    values.destroy()
     common.destroy()
-    is_text = F.col("times") == 0
-    counts = F.when(~is_text, F.coalesce("n", F.lit(0)))
+    for number in range(1, slices):
+        rows = rows.unionByName(further(number), allowMissingColumns=True)
+    is_text = F.col("times") == 0  # null in rows of further passes
+    counts = F.when(F.col("times") > 0, F.coalesce("n", F.lit(0)))
     joined = rows.join(words.select(F.col("key").alias("word"), "n"), "word", "left")
     texts_of = joined.groupBy("id", "digest").agg(
         F.count(F.when(is_text, 1)).alias("copies"),
         F.max("n_tokens").alias("n_tokens"),
         F.max("n_known").alias("sure"),
         F.max("logs").alias("logs"),
-        F.min("score").alias("score"),
+        F.sum("score").alias("score"),
         F.max("symbols").alias("symbols"),
         F.sum(F.when(counts > 0, F.col("times"))).alias("known"),
         F.sum(F.col("times") * F.log10(counts + 1.0)).alias("more"),
@@ -421,6 +507,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("sure") + F.coalesce((F.col("known") / copies).cast("long"), F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce(F.col("more") / copies, F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"),
-        "score",
-        (-F.col("score") * math.log2(10) / F.col("symbols")).alias("bits_per_byte"),
+        (F.col("score") / copies).alias("score"),
+        (-F.col("score") / copies * math.log2(10) / F.col("symbols")).alias("bits_per_byte"),
     )

@@ -111,6 +111,11 @@ def test_scores(docs, odd, none):
     assert ctw.score_texts(none).count() == 0
 
 
+def test_scores_by_the_whole_tree(docs):
+    """Many passes and tasks: no n-gram and no node is left out."""
+    _scores(docs.where("doc_id < 20"), slice_rows=4000, dealt=20_000)
+
+
 def test_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = ctw.score_texts(docs).where("held_out and n_tokens > 50").collect()
