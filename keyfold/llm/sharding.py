@@ -2,10 +2,12 @@
 
 Equal texts are one group; a group's size is the sum of its documents' sizes. Groups,
 the largest first, go to the least-loaded shard through a heap. Beyond `limit` groups
-no single heap sees them all: groups are dealt into parts of about `limit`, each part
-fills one bundle per shard by the same rule in a task, and the bundles are the groups
-of the next round. Each round divides their number by limit / shards, so that what
-reaches the driver is `limit` rows at most, whatever the input.
+no single heap sees them all: groups above a size that at most limit / 4 can exceed go
+on one by one; the small rest is dealt into parts of about `limit`, each part fills
+limit / 2 / parts bundles by the same rule in a task (a shard's number at least), and
+large groups and bundles are the groups of the next round. So the last round has
+pieces much smaller than a shard besides groups that can't be cut, and what reaches
+the driver is `limit` rows at most, whatever the input.
 
 Slots number the documents of a shard without gaps: rows are counted by (shard,
 bucket of ids), and a window numbers each bucket from its offset, so no task holds a
@@ -52,17 +54,26 @@ def assign(groups: DataFrame, shards: int, limit: int = LIMIT) -> DataFrame:
         rows = groups.orderBy(F.desc("bytes"), "key").collect()
         placed = least_loaded([r["bytes"] for r in rows], shards)
         return C.saved(spark.createDataFrame([(r["key"], s) for r, s in zip(rows, placed, strict=True)], f"key {key_type}, shard int"), "shards")
+    # of what exceeds 4 / limit of all bytes there are at most limit / 4 groups: they are not bundled
+    large = groups.agg(F.sum("bytes")).first()[0] * 4 // limit
     parts = -(-count // limit)
+    width = max(shards, limit // 2 // parts)
 
     def fill(group: pa.Table) -> pa.Table:
         group = group.sort_by([("bytes", "descending"), ("key", "ascending")])
-        placed = np.array(least_loaded(group.column("bytes").to_pylist(), shards), np.int64)
-        return group.append_column("bundle", pa.array(group.column("part").to_numpy() * shards + placed))
-
-    dealt = groups.select("key", "bytes", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
-    bundles = C.saved(dealt.groupBy("part").applyInArrow(fill, f"key {key_type}, bytes long, part long, bundle long"), "bundles")
-    above = assign(bundles.groupBy(F.col("bundle").alias("key")).agg(F.sum("bytes").alias("bytes")), shards, limit)
-    return bundles.select("key", "bundle").join(above.select(F.col("key").alias("bundle"), "shard"), "bundle").select("key", "shard")
+        placed = np.array(least_loaded(group.column("bytes").to_pylist(), width), np.int64)
+        return group.append_column("bundle", pa.array(group.column("part").to_numpy() * width + placed))
+
+    small = groups.where(F.col("bytes") <= large).select("key", "bytes", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
+    bundles = C.saved(small.groupBy("part").applyInArrow(fill, f"key {key_type}, bytes long, part long, bundle long"), "bundles")
+    # the next round's keys: a bundle's number, or a large group's own key
+    no_key, no_bundle = F.lit(None).cast(key_type), F.lit(None).cast("long")
+    pieces = bundles.groupBy("bundle").agg(F.sum("bytes").alias("bytes")).select(F.struct("bundle", no_key.alias("own")).alias("key"), "bytes")
+    alone = groups.where(F.col("bytes") > large).select(F.struct(no_bundle.alias("bundle"), F.col("key").alias("own")).alias("key"), "bytes")
+    above = assign(C.saved(pieces.unionByName(alone), "pieces"), shards, limit)
+    of_bundle = above.where("key.bundle is not null").select(F.col("key.bundle").alias("bundle"), "shard")
+    placed = bundles.select("key", "bundle").join(of_bundle, "bundle").select("key", "shard")
+    return placed.unionByName(above.where("key.bundle is null").select(F.col("key.own").alias("key"), "shard"))
 
 
 def with_slots(rows: DataFrame, id_col: str, count: int, shards: int, bucket_rows: int = 5_000) -> DataFrame:

@@ -326,3 +326,14 @@ def test_sharding_in_rounds(spark):
     load = _sharded(df, 8, limit=200)
     mean = sum(load.values()) / 8
     assert max(load.values()) - min(load.values()) < 0.02 * mean
+
+
+@pytest.mark.parametrize("part", [0.5, 0.8])
+def test_sharding_in_rounds_with_a_large_group(spark, part):
+    rng = np.random.default_rng(2)
+    texts = ["x" * int(n) + str(i) for i, n in enumerate(rng.lognormal(4, 1, 3000))]
+    mean = sum(len(t) + 8 for t in texts) / 8
+    big = "y" * 1000
+    texts += [big] * int(part * mean / (1 - part / 8) / 1008)
+    load = _sharded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8, limit=400)
+    assert max(load.values()) < 1.02 * sum(load.values()) / 8
