@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -33,7 +34,13 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "key64", "keyhex")
 _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 # A run is tried from its start only, and without going back: linear in any text.
-_TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+# The first byte of a JSON object is { or a blank or line break: e, I, C or D in base64.
+_TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])(?=([eICD][A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+))")
+# Base64 in lines, parted by line breaks or escaped ones; and where keys typically begin in it.
+_BREAK = re.compile(rb"(?:\r|\n|\\++[rn])++[\x20\t]*+")
+_LINES = re.compile(rb"(?:(?!-----)[A-Za-z0-9+/_-]){40,}+(?:(?:\r|\n|\\++[rn])++[\x20\t]*+(?:(?!-----)[A-Za-z0-9+/_-])++)*+")
+_BEGIN = re.compile(rb"(?=M[A-P]|b3BlbnNzaC1rZXktdjEA|AAAA[A-Z][23n](?:NzaC1|VjZHNh|Nr))")
+_OTHERS = re.compile(rb"[+/].*[_-]|[_-].*[+/]")
 _PEM_HEAD = re.compile(rb"-----BEGIN ([A-Z0-9 ]{1,40})-----")
 _PAD = re.compile(rb"={0,2}")
 _HEX = C.byte_table(lambda b: b in b"0123456789abcdef")
@@ -162,13 +169,46 @@ def pem_end(data: bytes, head: re.Match) -> int:
     at = data.find(b"-----", head.end())
     if at < 0 or not data.startswith(tail, at) or b"\x00" in data[head.end() : at]:
         return -1
-    lines = data[head.end() : at].splitlines()
+    lines = _BREAK.sub(b"\n", data[head.end() : at]).splitlines()
     body = b"".join(x.strip() for x in lines if b":" not in x)
     raw = decode64(body)
     legacy = any(x.startswith(b"Proc-Type:") for x in lines)  # encrypted bytes have no structure
     return at + len(tail) if raw and (is_key(raw) or legacy and len(raw) % 8 == 0) else -1
 
 
+def key_chars(text: bytes, at: int) -> int:
+    """Length of the base64 at `at` that is a key by its own length fields; 0 if none is."""
+    head = decode64(text[at : at + 8]) or b""
+    if head[:1] == b"\x30" and len(head) == 6:
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        if n > 2:  # 64 KB are more than any key
+            return 0
+        size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+        chars = -(-size * 4 // 3)
+    else:
+        chars = len(text) - at
+    if chars > 1 << 17 or at + chars > len(text):
+        return 0
+    body = text[at : at + chars]
+    # one alphabet
+    return chars if is_key(decode64(body)) and not _OTHERS.search(body) else 0
+
+
+def keys_in_lines(lines: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of keys anywhere in base64 lines."""
+    parts, place, at = [], [], 0
+    for m in [*_BREAK.finditer(lines), None]:
+        end = m.start() if m else len(lines)
+        parts.append(lines[at:end])
+        place.append(np.arange(at, end))
+        at = m.end() if m else end
+    text, where, after = b"".join(parts), np.concatenate(place), 0
+    for m in _BEGIN.finditer(text):
+        if m.start() >= after and (n := key_chars(text, m.start())):
+            after = m.start() + n
+            yield int(where[m.start()]), int(where[after - 1]) + 1
+
+
 # ---------------------------------------------------------------- spans
 
 
@@ -189,7 +229,11 @@ def find_spans(column: pa.Array) -> list[list[tuple[int, int, int]]]:
     far = ends - starts >= 24
     spans += [(s, 2, e) for s, e in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
 
-    spans += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(buffer) if is_signed_token(m[0])]
+    after = 0
+    for m in _TOKEN.finditer(buffer):
+        if m.start() >= after and is_signed_token(m[1]):
+            after = m.end(1)
+            spans.append((m.start(), 3, after))
     at = 0
     while head := _PEM_HEAD.search(buffer, at):
         end = pem_end(buffer, head)
@@ -201,6 +245,12 @@ def find_spans(column: pa.Array) -> list[list[tuple[int, int, int]]]:
     for s, e in zip(starts[far].tolist(), ends[far].tolist(), strict=True):
         if is_key(decode64(buffer[s:e])):
             spans.append((s, 5, e + len(_PAD.match(buffer, e)[0])))
+    found = sorted((s, e) for s, k, e in spans if k in (4, 5))
+    for m in _LINES.finditer(buffer):
+        for s, e in keys_in_lines(m[0]):
+            s, e = s + m.start(), e + m.start()
+            if not any(x < e and s < y for x, y in found[max(0, bisect.bisect(found, (s,)) - 2) : bisect.bisect(found, (e,))]):
+                spans.append((s, 5, e + len(_PAD.match(buffer, e)[0])))
     starts, ends = C.runs(_ANY_HEX[data], base)
     far = (ends - starts >= 48) & ((ends - starts) % 2 == 0)
     spans += [(s, 6, e) for s, e in zip(starts[far].tolist(), ends[far].tolist(), strict=True) if is_key(bytes.fromhex(buffer[s:e].decode()))]

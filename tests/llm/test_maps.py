@@ -211,3 +211,19 @@ def test_pieces_keep_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "", "b" * 50, "c"])], ["text"])
     got = [p.num_rows for p in C.pieces(iter([batch, batch.slice(0, 0)]), "text", 20)]
     assert sum(got) == 5 and len(got) > 1
+
+
+def test_secrets_in_wider_windows():
+    key = base64.b64encode(RSA).decode()
+    lines = [key[i : i + 64] for i in range(0, len(key), 64)]
+    pem = lambda br: br.join(["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----"])
+    url = lambda x: base64.urlsafe_b64encode(x.encode()).rstrip(b"=").decode()
+    token = url('{ "alg": "HS256"}') + "." + url('{"sub": 1}') + "." + url("signature")
+    kinds = lambda t: {secrets.KINDS[k]: t[s:e] for s, k, e in secrets.find_spans(pa.array([t]))[0] if k > 2}
+    for br in ("\n", "\\n", "\\r\\n"):
+        assert kinds(f'x "{pem(br)}{br}" y')["pem"] == pem(br)
+        assert kinds("see " + br.join(lines) + " end")["key64"] == br.join(lines)
+    for before in ("key/", "id_", "\\n"):
+        assert kinds(f"a {before}{key} b")["key64"] == key
+    assert kinds(f"a {token} b") == {"jwt": token} and kinds(f"x.{token}") == {"jwt": token}
+    assert not kinds("M" * 5000 + " " + "MIIEvAIB" * 500)
