@@ -15,15 +15,14 @@ built from the deepest level up, one aggregation a level. Nothing is sampled.
 Scoring: each distinct n-gram of the corpus gets its log10 probability once, from the
 whole tree: nodes and n-grams are dealt by the hash of the nearest `NEAR` context bytes,
 so that a task has all deeper nodes that its n-grams can meet; the shallower ones, whose
-number has a bound, go to all tasks. A context that was not seen hands the decision to
-the next shorter one. Every decision stays a distribution, so scores are probabilities.
-Texts are then read in passes: each has one hash slice of about `SLICE` n-grams as a
-broadcast and adds up their part of each text's score. Nothing is left out: a larger
-corpus takes more passes.
+number has a bound, go to all tasks. A node that was not seen has probability 1/2, as an
+estimate without counts has. Every decision is a distribution, so scores are
+probabilities. Texts are then read once: the values of frequent n-grams (2**j or more
+occurrences, with the smallest j that leaves at most `TOP_NGRAMS`) go along; of the other
+n-grams each text gives a row with its number of occurrences, which is joined with the
+n-gram's value. Nothing is left out, and texts themselves are not shuffled.
 
-Base score: counts of frequent words (2**j or more occurrences, with the smallest j
-that leaves at most `TOP_WORDS` words) go along; occurrences of other words are
-summed per document and joined with their counts.
+Base score: the same with words, their counts and `TOP_WORDS`.
 
 Defined results: a null text is empty (the end symbol alone is scored); a null id
 hashes as the empty string; repeated rows give one row each; without training
@@ -46,9 +45,10 @@ from keyfold.llm import common as C
 DEPTH = 5
 #: Nodes of contexts of fewer bytes go to all tasks.
 NEAR = 3
-#: Nodes and n-grams scored in a task, and n-grams broadcast in a pass.
-DEALT, SLICE = 1 << 20, 2 << 20
-TOP_WORDS = 1 << 20
+#: Nodes and n-grams scored in a task.
+DEALT = 1 << 20
+#: N-grams and words whose values go to all tasks.
+TOP_NGRAMS, TOP_WORDS = 2 << 20, 1 << 20
 #: Symbols handled at once: one takes some 100 bytes on the way.
 PIECE = 1 << 19
 _U = np.uint64
@@ -282,16 +282,12 @@ def weighted(levels: list[DataFrame]) -> list[DataFrame]:
     return [level.select(key.alias("key"), p.alias("p"), weight.alias("w")) for key, level in zip(keys, levels, strict=True)]
 
 
-def slice_of(grams: np.ndarray, slices: int) -> np.ndarray:
-    return (C.mix(grams) >> _U(32)) % _U(slices)
-
-
-def ngram_scores(ngrams: DataFrame, levels: list[DataFrame], slices: int, dealt: int = DEALT) -> DataFrame:
-    """(key, value, slice): log10 probability of each n-gram's symbol by the whole tree. ngrams: (key), distinct."""
+def ngram_scores(ngrams: DataFrame, levels: list[DataFrame], dealt: int = DEALT) -> DataFrame:
+    """(key, n, value): log10 probability of each n-gram's symbol by the whole tree. ngrams: (key, n), keys distinct."""
     nodes = weighted(levels)
-    rows = ngrams.select("key", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("w"))
+    rows = ngrams.select("key", "n", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("w"))
     for level in nodes[: DEPTH + 1 - NEAR]:
-        rows = rows.unionByName(level)
+        rows = rows.unionByName(level, allowMissingColumns=True)
     near = F.shiftright("key", 8).bitwiseAND((1 << (8 * NEAR)) - 1)
     rows = rows.withColumn("part", F.pmod(F.xxhash64(near), F.lit(-(-rows.count() // dealt) or 1)))
     few = nodes[DEPTH + 1 - NEAR]
@@ -305,95 +301,69 @@ def ngram_scores(ngrams: DataFrame, levels: list[DataFrame], slices: int, dealt:
         keys = group.column("key").to_numpy().view(_U)
         own = (keys[is_node], *(group.column(c).drop_null().to_numpy() for c in ("p", "w")))
         model = Model(*(np.concatenate(x) for x in zip(shallow.value, own, strict=True)))
-        grams = np.sort(keys[~is_node])
-        value = np.concatenate([np.zeros(0), *(Scorer(model, memory=1).mixed(grams[part]) for part in parts(len(grams), 65536))])
-        return pa.table({"key": grams.view(np.int64), "value": value, "slice": slice_of(grams, slices).astype(np.int32)})
+        grams = keys[~is_node]
+        order = np.argsort(grams)
+        grams = grams[order]
+        value = np.concatenate([np.zeros(0), *(log_probabilities(model, grams[part]) for part in parts(len(grams), 65536))])
+        return pa.table({"key": grams.view(np.int64), "n": group.column("n").drop_null().to_numpy()[order], "value": value})
 
-    scores = C.saved(rows.groupBy("part").applyInArrow(work, "key long, value double, slice int"), "ngram-scores")
+    scores = C.saved(rows.groupBy("part").applyInArrow(work, "key long, n long, value double"), "ngram-scores")
     shallow.destroy()
     return scores
 
 
-class Values:
-    """N-gram to log10 probability."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.index = Index(len(keys))
-        self.values = np.zeros(self.index.size)
-        for part in parts(len(keys)):
-            self.values[self.index.add(keys[part])] = values[part]
-
-    def find(self, grams: np.ndarray) -> np.ndarray:
-        """The value, or 0 if it is another slice's."""
-        cell = self.index.find(grams)
-        return np.where(cell >= 0, self.values[cell], 0.0)
-
-
-def values_of(scores: DataFrame, number: int) -> Values:
-    got = scores.where(F.col("slice") == number).select("key", "value").toArrow()
-    return Values(got.column("key").to_numpy().view(_U), got.column("value").to_numpy())
-
-
-class Scorer:
-    """log10 probability of n-grams' last symbols, with a memory of n-grams scored before."""
-
-    def __init__(self, model: Model, memory: int = 1 << 21) -> None:
-        self.model = model
-        self.keys = np.full(memory, ~_U(0), _U)
-        self.values = np.zeros(memory, np.float64)
-
-    def score(self, grams: np.ndarray) -> np.ndarray:
-        at = (C.mix(grams) & _U(len(self.keys) - 1)).astype(np.int64)
-        out = self.values[at]
-        miss = np.flatnonzero(self.keys[at] != grams)
-        if len(miss):
-            new, back = np.unique(grams[miss], return_inverse=True)
-            value = np.concatenate([self.mixed(new[i : i + 65536]) for i in range(0, len(new), 65536)])
-            out[miss] = value[back]
-            place = (C.mix(new) & _U(len(self.keys) - 1)).astype(np.int64)
-            place, last = np.unique(place, return_index=True)
-            self.keys[place], self.values[place] = new[last], value[last]
-        return out
-
-    def mixed(self, grams: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(grams))
-        for k in range(8):
-            prefix = (_U(1) << _U(k)) | ((grams & _U(255)) >> _U(8 - k))
-            one = (grams >> _U(7 - k)) & _U(1) == 1
-            p = np.full(len(grams), 0.5)
-            deeper = np.zeros(len(grams), bool)
-            for depth in range(DEPTH, -1, -1):
-                context = grams & _U(((1 << (8 * depth)) - 1) << 8)
-                cell = self.model.index.find(node_keys(context | prefix, depth))
-                seen = cell >= 0
-                got = self.model.values[cell]
-                p = np.where(seen, np.where(deeper, got[:, 1] * got[:, 0] + (1 - got[:, 1]) * p, got[:, 0]), p)
-                deeper |= seen
-            out += np.log10(np.where(one, p, 1 - p))
-        return out
+def log_probabilities(model: Model, grams: np.ndarray) -> np.ndarray:
+    """log10 probability of the last symbol of each n-gram."""
+    out = np.zeros(len(grams))
+    for k in range(8):
+        prefix = (_U(1) << _U(k)) | ((grams & _U(255)) >> _U(8 - k))
+        one = (grams >> _U(7 - k)) & _U(1) == 1
+        p = np.full(len(grams), 0.5)
+        for depth in range(DEPTH, -1, -1):
+            context = grams & _U(((1 << (8 * depth)) - 1) << 8)
+            cell = model.index.find(node_keys(context | prefix, depth))
+            got = model.values[cell]
+            p = np.where(cell >= 0, got[:, 1] * got[:, 0] + (1 - got[:, 1]) * p, p)
+        out += np.log10(np.where(one, p, 1 - p))
+    return out
 
 
-# ---------------------------------------------------------------- words
+# ---------------------------------------------------------------- what goes to all tasks
 
 
-class Counts:
-    """Word hash to count."""
+class Known:
+    """64-bit keys to numbers above or below 0."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         self.index = Index(len(keys))
-        self.counts = np.zeros(self.index.size, np.int64)
+        self.numbers = np.zeros(self.index.size, numbers.dtype)
         for part in parts(len(keys)):
-            self.counts[self.index.add(keys[part])] = counts[part]
+            self.numbers[self.index.add(keys[part])] = numbers[part]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The count, or 0."""
-        cell = self.index.find(keys)
-        return np.where(cell >= 0, self.counts[cell], 0)
+        """The number, or 0."""
+        out = np.zeros(len(keys), self.numbers.dtype)
+        for part in parts(len(keys)):
+            cell = self.index.find(keys[part])
+            out[part] = np.where(cell >= 0, self.numbers[cell], 0)
+        return out
+
+
+def frequent(rows: DataFrame, number: str, most: int) -> tuple[Known, DataFrame]:
+    """(key to number of the most frequent rows, the other rows). rows: key, n, and the number."""
+    least = 1 << least_power(rows, "n", most)
+    got = rows.where(F.col("n") >= least).select("key", number).toArrow()
+    return Known(got.column("key").to_numpy().view(_U), got.column(number).to_numpy()), rows.where(F.col("n") < least)
 
 
-def frequent(words: DataFrame, most: int = TOP_WORDS) -> Counts:
-    got = words.where(F.col("n") >= (1 << least_power(words, "n", most))).select("key", "n").toArrow()
-    return Counts(got.column("key").to_numpy().view(_U), got.column("n").to_numpy())
+def tallied(row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, times) of the distinct pairs."""
+    order = np.lexsort((keys, row))
+    row, keys = row[order], keys[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    return row[at], keys[at], np.diff(np.append(at, len(row)))
 
 
 # ---------------------------------------------------------------- scores
@@ -403,101 +373,81 @@ def held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == fold
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, slice_rows: int = SLICE, dealt: int = DEALT, top_words: int = TOP_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, dealt: int = DEALT, top_ngrams: int = TOP_NGRAMS, top_words: int = TOP_WORDS) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     counted = docs.select("text", held_out("id", folds, fold).alias("held")).mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counted = C.saved(counted, "counts")
-    words = counted.where(F.col("kind") == _WORD).select("key", "n")
     totals = {r["kind"]: (r["v"], r["n"]) for r in counted.groupBy("kind").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
     texts = totals.get(_TEXT, (0, 0))[1]
     n = totals.get(_WORD, (0, 0))[1] + texts
     v = totals.get(_WORD, (0, 0))[0] + (texts > 0)
     ngrams = counted.where(F.col("kind") == _NGRAM)
-    slices = -(-totals.get(_NGRAM, (0, 0))[0] // slice_rows) or 1
-    scores = ngram_scores(ngrams.select("key"), tree_levels(ngrams.where("n > 0").select("key", "n")), slices, dealt)
-    common = spark.sparkContext.broadcast(frequent(words, top_words))
+    # n-grams of held-out texts alone count as one
+    scores = ngram_scores(ngrams.select("key", F.greatest("n", F.lit(1)).alias("n")), tree_levels(ngrams.where("n > 0").select("key", "n")), dealt)
+    known_ngrams, other_ngrams = frequent(scores, "value", top_ngrams)
+    known_words, other_words = frequent(counted.where(F.col("kind") == _WORD).select("key", "n"), "n", top_words)
+    known = spark.sparkContext.broadcast((known_ngrams, known_words))
     floor = math.log10(n + v + 1)
 
-    def parts_of(batches: Iterator[pa.RecordBatch], values, number: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Symbols]]:
-        """(piece, its bytes, offsets, digests, parts of the scores, symbols)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        values, counts = known.value
         for piece in C.pieces(batches, "text", PIECE):
             data, off = C.text_buffer(piece.column("text"))
             digest = np.array([xxhash.xxh64_intdigest(data[s:e].tobytes()) for s, e in zip(off[:-1], off[1:], strict=True)], _U)
             text = Symbols(data, off)
-            score = np.zeros(piece.num_rows)
+            rows, score = np.arange(piece.num_rows), np.zeros(piece.num_rows)
+            others: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = [(_TEXT, rows, digest, np.zeros(len(rows), np.int64))]
             for first, grams in text.slices():
-                value = np.zeros(len(grams))
-                for at in parts(len(grams)):
-                    mine = np.flatnonzero(slice_of(grams[at], slices) == number) if slices > 1 else slice(None)
-                    value[at][mine] = values.value.find(grams[at][mine])
+                value = values.find(grams)
                 score += text.sums(first, value)
-            yield piece, data, off, digest, score, text
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, data, off, digest, score, text in parts_of(batches, values, 0):
+                if len(rare := np.flatnonzero(value == 0)):
+                    row = np.searchsorted(text.bounds, first + rare, side="right") - 1
+                    others.append((_NGRAM, *tallied(row, grams[rare])))
             keys, first = tokens(data, off)
-            known = common.value.find(keys)
-            row = np.repeat(np.arange(piece.num_rows), np.diff(first))
-            sure = known > 0
-            logs = np.bincount(row[sure], np.log10(known[sure] + 1.0), minlength=piece.num_rows) + math.log10(texts + 1)
-            n_known = np.bincount(row[sure], minlength=piece.num_rows) + (texts > 0)
-            # words that are not among the frequent: one row per document and word
-            rare = np.flatnonzero(~sure)
-            rare = rare[np.lexsort((keys[rare], row[rare]))]
-            new = np.ones(len(rare), bool)
-            new[1:] = (keys[rare][1:] != keys[rare][:-1]) | (row[rare][1:] != row[rare][:-1])
-            at = np.flatnonzero(new)
-            rows = np.concatenate([np.arange(piece.num_rows), row[rare][at]])
-            few, zeros = len(at), np.zeros(len(at), np.int64)
+            count = counts.find(keys)
+            row = np.repeat(rows, np.diff(first))
+            sure = count > 0
+            logs = np.bincount(row[sure], np.log10(count[sure] + 1.0), minlength=len(rows)) + math.log10(texts + 1)
+            n_known = np.bincount(row[sure], minlength=len(rows)) + (texts > 0)
+            others.append((_WORD, *tallied(row[~sure], keys[~sure])))
+            more = sum(len(x[1]) for x in others) - len(rows)  # the rows beside those of the texts themselves
+            of_text = lambda x: np.concatenate([x, np.zeros(more, x.dtype)])
+            row = np.concatenate([x[1] for x in others])
             columns = {
-                "id": pc.take(piece.column("id"), pa.array(rows)),
-                "digest": digest[rows].view(np.int64),
-                "word": np.concatenate([digest, keys[rare][at]]).view(np.int64),
-                "times": np.concatenate([np.zeros(piece.num_rows, np.int64), np.diff(np.append(at, len(rare)))]),
-                "n_tokens": np.concatenate([np.diff(first) + 1, zeros]),
-                "n_known": np.concatenate([n_known, zeros]),
-                "logs": np.concatenate([logs, np.zeros(few)]),
-                "score": np.concatenate([score, np.zeros(few)]),
-                "symbols": np.concatenate([np.diff(text.bounds), zeros]),
+                "id": pc.take(piece.column("id"), pa.array(row)),
+                "digest": digest[row].view(np.int64),
+                "kind": np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in others]),
+                "key": np.concatenate([x[2] for x in others]).view(np.int64),
+                "times": np.concatenate([x[3] for x in others]),
+                "n_tokens": of_text(np.diff(first) + 1),
+                "n_known": of_text(n_known),
+                "logs": of_text(logs),
+                "score": of_text(score),
+                "symbols": of_text(np.diff(text.bounds)),
             }
             yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns.values()], list(columns))
 
     id_type = docs.schema["id"].dataType.simpleString()
-
-    def further(number: int) -> DataFrame:
-        values = spark.sparkContext.broadcast(values_of(scores, number))
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for piece, _, _, digest, score, _ in parts_of(batches, values, number):
-                yield pa.RecordBatch.from_arrays([piece.column("id"), *(pa.array(x) for x in (digest.view(np.int64), digest.view(np.int64), score))], ["id", "digest", "word", "score"])
-
-        added = C.saved(docs.mapInArrow(add, f"id {id_type}, digest long, word long, score double"), "scores")
-        values.destroy()
-        return added
-
-    values = spark.sparkContext.broadcast(values_of(scores, 0))
-    rows = docs.mapInArrow(work, f"id {id_type}, digest long, word long, times long, n_tokens long, n_known long, logs double, score double, symbols long")
-    rows = C.saved(rows, "scores")  # scored once, whatever is lost later; the slice can go
-    values.destroy()
-    common.destroy()
-    for number in range(1, slices):
-        rows = rows.unionByName(further(number), allowMissingColumns=True)
-    is_text = F.col("times") == 0  # null in rows of further passes
-    counts = F.when(F.col("times") > 0, F.coalesce("n", F.lit(0)))
-    joined = rows.join(words.select(F.col("key").alias("word"), "n"), "word", "left")
+    rows = docs.mapInArrow(work, f"id {id_type}, digest long, kind int, key long, times long, n_tokens long, n_known long, logs double, score double, symbols long")
+    rows = C.saved(rows, "scores")  # scored once, whatever is lost later; what went along can go
+    known.destroy()
+    number = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    others = other_words.select(F.lit(_WORD).alias("kind"), "key", "n", number("double", "value")).unionByName(other_ngrams.select(F.lit(_NGRAM).alias("kind"), "key", number("long", "n"), "value"))
+    joined = rows.join(others, ["kind", "key"], "left")
+    is_word, times = F.col("kind") == _WORD, F.col("times")
     texts_of = joined.groupBy("id", "digest").agg(
-        F.count(F.when(is_text, 1)).alias("copies"),
+        F.count(F.when(F.col("kind") == _TEXT, 1)).alias("copies"),
         F.max("n_tokens").alias("n_tokens"),
-        F.max("n_known").alias("sure"),
-        F.max("logs").alias("logs"),
-        F.sum("score").alias("score"),
+        F.max(F.when(F.col("kind") == _TEXT, F.col("n_known"))).alias("sure"),
+        F.max(F.when(F.col("kind") == _TEXT, F.col("logs"))).alias("logs"),
+        F.sum(F.col("score") + F.coalesce(times * F.col("value"), F.lit(0.0))).alias("score"),
         F.max("symbols").alias("symbols"),
-        F.sum(F.when(counts > 0, F.col("times"))).alias("known"),
-        F.sum(F.col("times") * F.log10(counts + 1.0)).alias("more"),
+        F.sum(F.when(is_word & (F.col("n") > 0), times)).alias("known"),
+        F.sum(F.when(is_word, times * F.log10(F.coalesce("n", F.lit(0)) + 1.0))).alias("more"),
     )
     copies = F.col("copies")
     return texts_of.withColumn("copy", F.explode(F.expr("array_repeat(1, cast(copies as int))"))).select(

@@ -72,13 +72,13 @@ class Tree:
         total = 0.0
         for context, byte in self.steps(text):
             for bits, one in self.bits(byte):
-                p, deeper = 0.5, False
+                p = 0.5
                 for d in range(ctw.DEPTH, -1, -1):
                     key = context[ctw.DEPTH - d :], bits
                     if key in self.counts[d]:
                         a, b = self.counts[d][key]
                         kt, w = (b + 0.5) / (a + b + 1), self.weight[d][key]
-                        p, deeper = (w * kt + (1 - w) * p if deeper else kt), True
+                        p = w * kt + (1 - w) * p
                 total += math.log10(p if one else 1 - p)
         return total
 
@@ -112,8 +112,17 @@ def test_scores(docs, odd, none):
 
 
 def test_scores_by_the_whole_tree(docs):
-    """Many passes and tasks: no n-gram and no node is left out."""
-    _scores(docs.where("doc_id < 20"), slice_rows=4000, dealt=20_000)
+    """Many tasks, and few or no n-grams that go along: no n-gram and no node is left out."""
+    for most in (0, 3000):
+        _scores(docs.where("doc_id < 20"), top_ngrams=most, top_words=most, dealt=20_000)
+
+
+def test_scores_of_repeated_rows(spark):
+    text = "the quick brown fox jumps over the lazy dog " * 3
+    df = spark.createDataFrame([(i % 3, text if i % 2 else text + "Again.") for i in range(12)], "doc_id long, text string")
+    options = ({"top_ngrams": 0, "top_words": 0}, {})
+    first, second = (sorted((r.doc_id, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in ctw.score_texts(df, **o).collect()) for o in options)
+    assert len(first) == 12 and first == second
 
 
 def test_held_out_texts(spark):
@@ -129,16 +138,14 @@ def test_decisions_are_distributions():
     keys = keys[rng.random(len(keys)) < 0.7]
     model = ctw.Model(keys, *rng.random((2, len(keys))))
     grams = np.uint64(0x606162636400) | np.arange(256, dtype=np.uint64)
-    assert (10.0 ** ctw.Scorer(model).score(grams)).sum() == pytest.approx(1, abs=1e-6)
-    scorer = ctw.Scorer(model, memory=8)
-    assert np.allclose(scorer.score(grams), scorer.score(grams))
+    assert (10.0 ** ctw.log_probabilities(model, grams)).sum() == pytest.approx(1, abs=1e-6)
 
 
-def test_counts_find():
+def test_known_keys():
     keys = np.random.default_rng(0).integers(0, 2**63, 5000, dtype=np.uint64)
-    table = ctw.Counts(keys, np.arange(5000))
+    table = ctw.Known(keys, np.arange(5000))
     assert (table.find(keys) == np.arange(5000)).all() and (table.find(keys + np.uint64(1)) == 0).all()
-    assert (ctw.Counts(keys[:0], np.zeros(0, np.int64)).find(keys) == 0).all()
+    assert (ctw.Known(keys[:0], np.zeros(0, np.int64)).find(keys) == 0).all()
 
 
 # ---------------------------------------------------------------- archives
