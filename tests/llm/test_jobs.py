@@ -295,52 +295,58 @@ def _fewest(lengths, size):
 # ---------------------------------------------------------------- sharding
 
 
-def _sharded(df, shards=24, limit=sharding.LIMIT):
-    rows = {}
-    texts = Counter((r.doc_id, r.text or "") for r in df.collect())
-    got = sharding.shard_documents(df, shards, limit=limit).collect()
-    assert len(got) == sum(texts.values())
-    load, slots, where = Counter(), defaultdict(list), {}
-    by_id = {i: t for i, t in texts}
+def _plain_loads(sizes, shards):
+    """Loads of the plain rule, one group after the other."""
+    heap = [(0, s) for s in range(shards)]
+    for n in sorted(sizes, reverse=True):
+        heapq.heapreplace(heap, (heap[0][0] + n, heap[0][1]))
+    return sorted(load for load, _ in heap)
+
+
+def _sharded(df, shards=24):
+    texts, groups = Counter(), Counter()
+    for r in df.collect():
+        texts[r.doc_id, r.text or ""] += 1
+        groups[r.text or ""] += len((r.text or "").encode()) + 8
+    got = sharding.shard_documents(df, shards).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter({(i, len(t.encode()) + 8, zlib.crc32(t.encode())): n for (i, t), n in texts.items()})
+    load, slots, where = Counter({s: 0 for s in range(shards)}), defaultdict(list), {}
     for r in got:
-        t = by_id[r.doc_id]
-        assert (r.size, r.text_crc32) == (len(t.encode()) + 8, zlib.crc32(t.encode()))
-        assert where.setdefault(t, r.shard) == r.shard and 0 <= r.shard < shards
+        assert where.setdefault((r.size, r.text_crc32), r.shard) == r.shard
         load[r.shard] += r.size
         slots[r.shard].append(r.slot)
-        rows[r.doc_id] = r
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sorted(load.values()) == _plain_loads(groups.values(), shards)
     return load
 
 
-def test_sharding(docs, odd, none):
-    load = _sharded(docs)
-    sizes = Counter()
-    for r in docs.collect():
-        sizes[r.text or ""] += len((r.text or "").encode()) + 8
-    heap = [(0, s) for s in range(24)]
-    for t in sorted(sizes, key=lambda t: -sizes[t]):
-        n, s = heap[0]
-        heapq.heapreplace(heap, (n + sizes[t], s))
-    assert max(load.values()) == max(heap)[0]
+def test_sharding(spark, docs, odd, none):
+    _sharded(docs)
     _sharded(odd)
     assert sharding.shard_documents(none).count() == 0
+    nameless = spark.createDataFrame([(None if i % 2 else 7, "abc" if i % 3 else None) for i in range(60)], SCHEMA.split(", ")[0] + ", text string")
+    _sharded(nameless, 5)
 
 
-def test_sharding_in_rounds(spark):
-    rng = np.random.default_rng(1)
-    df = spark.createDataFrame([(i, "x" * int(n) + str(i // 2)) for i, n in enumerate(rng.integers(0, 400, 3000))], "doc_id long, text string")
-    load = _sharded(df, 8, limit=200)
-    mean = sum(load.values()) / 8
-    assert max(load.values()) - min(load.values()) < 0.02 * mean
-
-
-@pytest.mark.parametrize("part", [0.5, 0.8])
-def test_sharding_in_rounds_with_a_large_group(spark, part):
+@pytest.mark.parametrize("part", [0.0, 0.5, 0.8, 3.0])
+def test_sharding_with_a_large_group(spark, part):
     rng = np.random.default_rng(2)
     texts = ["x" * int(n) + str(i) for i, n in enumerate(rng.lognormal(4, 1, 3000))]
     mean = sum(len(t) + 8 for t in texts) / 8
-    big = "y" * 1000
-    texts += [big] * int(part * mean / (1 - part / 8) / 1008)
-    load = _sharded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8, limit=400)
-    assert max(load.values()) < 1.02 * sum(load.values()) / 8
+    texts += ["y" * 1000] * int(part * mean / 1008)
+    _sharded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8)
+
+
+def test_runs_of_equal_groups():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        shards = int(rng.integers(1, 9))
+        heap = [(int(x), s) for s, x in enumerate(rng.integers(0, 200, shards))]
+        heapq.heapify(heap)
+        size, count = int(rng.integers(0, 40)), int(rng.integers(1, 120))
+        want, plain_heap = Counter(), list(heap)
+        for _ in range(count):
+            load, s = plain_heap[0]
+            want[s] += 1
+            heapq.heapreplace(plain_heap, (load + size, s))
+        assert sharding.deal(heap, size, count) == want and sorted(heap) == sorted(plain_heap)
