@@ -39,6 +39,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until the table has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- pieces of a batch
 
 

@@ -18,9 +18,9 @@ fewer words is one span of its own length, winnowed alike at that length.
    Head rows have keys of their own, so they don't meet in one task.
 5. One aggregation per document merges the spans.
 
-Defined results: a null text or item has no words and no hits; repeated rows give one
-row each; two items with equal text both count; an item with a null id is left out;
-an empty benchmark hits nothing.
+Defined results: a null text or item has no words and no hits; repeated rows and rows
+with a null id give one row each; two items with equal text both count; an item with a
+null id is left out; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -121,10 +121,8 @@ def _set(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (flags[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
 
 
-def contamination(
-    docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 4, filter_bits: int = 1 << 24
-) -> DataFrame:
-    """One row per document: n_words, n_hit, items (ids as sorted strings), spans (merged word ranges), contaminated."""
+def hits_of(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 4, filter_bits: int = 1 << 24) -> DataFrame:
+    """(id, digest, n_words, copies, hits, items) of each id and text: hits are (start, end) by start, digest is xxhash64 of the text."""
     known = C.saved(benchmark_spans(bench, item_col, item_text_col, window, k), "benchmark-spans")
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # `window` values at most
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(known, filter_bits))
@@ -137,7 +135,7 @@ def contamination(
         for piece in C.pieces(batches, "__text"):
             w = Words(piece.column("__text"))
             raw, off = C.text_buffer(piece.column("__text"))
-            digest = np.array([xxhash.xxh64_intdigest(raw[s:e].tobytes()) for s, e in zip(off[:-1], off[1:], strict=True)], _U)
+            digest = np.array([xxhash.xxh64_intdigest(raw[s:e].tobytes(), 42) for s, e in zip(off[:-1], off[1:], strict=True)], _U)
             rows, starts, lengths, fps, texts = [np.arange(piece.num_rows)], [np.full(piece.num_rows, -1)], [np.zeros(piece.num_rows, np.int64)], [digest], [f"\n{d:x}" for d in digest.tolist()]
             for size in sizes:
                 fp = w.fingerprints(size, k)
@@ -157,11 +155,15 @@ def contamination(
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text")).mapInArrow(winnow, f"id {id_type}, digest long, n_words long, start long, length long, fp long, span string")
-    found = rows.join(known.select("fp", "span", "items"), ["fp", "span"], "left").groupBy("id", "digest", "n_words").agg(
+    return rows.join(known.select("fp", "span", "items"), ["fp", "span"], "left").groupBy("id", "digest", "n_words").agg(
         F.count(F.when(F.col("start") < 0, 1)).alias("copies"),
         F.array_sort(F.collect_set(F.when(F.col("items").isNotNull(), F.struct("start", (F.col("start") + F.col("length")).alias("end"))))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
+
+
+def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: n_words, n_hit, items (ids as sorted strings), spans (merged word ranges), contaminated. Options are those of hits_of."""
     merged = F.aggregate(
         "hits",
         F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
@@ -169,12 +171,17 @@ def contamination(
             F.concat(done, F.array(x))
         ),
     )
-    found = found.withColumn("spans", merged).withColumn("copy", F.explode(F.expr("array_repeat(1, cast(copies as int))")))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return found.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
+    # words hit, and the end of what is counted
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    longer = lambda done, x: F.struct((done["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(done["upto"], x["start"]))).alias("n"), F.greatest(done["upto"], x["end"]).alias("upto"))
+    n_hit = F.aggregate("hits", none, longer, lambda done: done["n"])
+    found = hits_of(docs, bench, id_col, text_col, **options).withColumn("copy", F.explode(F.expr("array_repeat(1, cast(copies as int))")))
+    return found.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", merged.alias("spans"), (F.size("hits") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no span of the benchmark, with all their columns."""
-    gone = C.saved(contamination(docs, bench, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__gone")).distinct(), "contaminated")
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows whose text holds no span of the benchmark, with all their columns; a row goes by its own id and text."""
+    gone_id, gone_digest = C.new_names(docs, "gone_id", "gone_digest")
+    gone = hits_of(docs, bench, id_col, text_col).where(F.size("hits") > 0).select(F.col("id").alias(gone_id), F.col("digest").alias(gone_digest))
+    gone = C.saved(gone, "contaminated")
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs[text_col]) == F.col(gone_digest)), "left_anti")

@@ -81,3 +81,36 @@ def base_spans(text):
 
 def digest(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def shingles(text, words=5):
+    w = SPACED.findall(low(text))
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def near_copies(texts, least=0.8):
+    """Label of each text: the first text reachable over pairs with a Jaccard similarity of `least` or more."""
+    sets = [shingles(t) for t in texts]
+    by_shingle = {}
+    for i, s in enumerate(sets):
+        for x in s or {None}:
+            by_shingle.setdefault(x, []).append(i)
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s or {None} for j in by_shingle[x] if j < i)
+        for j, n in shared.items():
+            if not s or n >= least * (len(s) + len(sets[j]) - n):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]

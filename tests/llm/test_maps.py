@@ -69,15 +69,94 @@ def test_repeats_across_pieces():
 
 
 def test_simhash(docs, odd, none):
-    for df in (docs, odd.where("doc_id is not null")):
+    for df in (docs, odd):
         prints = {r.doc_id: plain.fingerprint(r.text) for r in df.collect()}
-        want = plain.components(prints)
+        want = plain.components({i: f for i, f in prints.items() if i is not None})
+        want[None] = None
         got = simhash.near_duplicates(df).collect()
         assert len(got) == df.count()
         assert all(prints[r.doc_id] == r.fp % 2**64 and want[r.doc_id] == r.component_id for r in got)
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.drop_near_duplicates(none).columns == none.columns
-    assert {r.doc_id for r in simhash.drop_near_duplicates(odd).collect()} == {1, 3, 4, 5, 6, 7, 8, None}
+
+
+def test_null_ids_link(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 4
+    df = spark.createDataFrame([(3, words + "x"), (None, words + "x"), (None, "other words altogether"), (5, "other words altogether"), (None, "alone")], "doc_id long, text string")
+    assert sorted(str((r.doc_id, r.component_id)) for r in simhash.near_duplicates(df).collect()) == ["(3, 3)", "(5, 5)", "(None, 3)", "(None, 5)", "(None, None)"]
+
+
+# ---------------------------------------------------------------- near copies
+
+
+def test_drop_near_duplicates_of_odd_tables(spark, odd, none):
+    got = simhash.drop_near_duplicates(none.withColumnRenamed("source", "gone_id"))
+    assert got.columns == ["doc_id", "text", "gone_id", "bucket", "spans"] and got.count() == 0
+    assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(odd).collect()) == ["1", "3", "4", "5", "6", "7", "8", "None"]
+    t, u = "one text of some words that is here more than once", "another text that is not like the first in any way"
+    rows = [(1, t), (1, t), (2, t), (1, u), (7, u), (7, "this one stands alone"), (None, t), (None, "no id but unlike all of the others"), (None, "no id but unlike all of the others")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone_digest", F.lit(1))
+    got = simhash.drop_near_duplicates(df).collect()
+    assert sorted(str(r.doc_id) + r.text for r in got) == sorted([f"1{t}", f"1{u}", "7this one stands alone", "Noneno id but unlike all of the others"])
+
+
+def _copies(rng, n, share):
+    """Texts with copies in which words are replaced at about the rate `share`."""
+    out = []
+    for i in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(30, 200)))]
+        out.append(" ".join(words))
+        for _ in range(2):
+            out.append(" ".join(f"n{rng.integers(0, 9999)}" if rng.random() < share else w for w in words))
+    return out
+
+
+def test_near_copies_are_found(spark):
+    rng = np.random.default_rng(8)
+    texts = [t for share in (0.005, 0.01, 0.02, 0.03, 0.05) for t in _copies(rng, 120, share)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in simhash.near_copies(df).collect()}
+    want = plain.near_copies(texts)
+    linked = [(want[i], i) for i in range(len(texts)) if want[i] != i]
+    assert len(linked) > 400
+    assert np.mean([got[a] == got[b] for a, b in linked]) > 0.985
+    groups = {}
+    for i, c in got.items():
+        groups.setdefault(c, []).append(i)
+    for members in groups.values():  # no member without a partner at 0.8
+        assert len(members) == 1 or all(max(plain.similarity(texts[i], texts[j]) for j in members if j != i) >= 0.79 for i in members)
+
+
+def test_near_copies_in_hot_buckets(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 3000, 120)]
+    texts = {" ".join(f"n{rng.integers(0, 9999)}" if i == k or i == 60 else w for i, w in enumerate(base)) for k in range(120) for _ in range(2)}
+    texts = [*texts, *(f"no {i} such {i} text {i} as {i} this" for i in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in simhash.near_copies(df).collect()}
+    want = plain.near_copies(texts)
+    assert len({(want[i], got[i]) for i in got}) == len(set(want)) == len(set(got.values()))
+    marks = pa.array(texts)
+    fps = simhash.long_fingerprints(marks, 5)
+    nodes = spark.createDataFrame([(i, list(map(int, f.view(np.int64))), list(map(int, v))) for i, (f, v) in enumerate(zip(fps, simhash.bucket_values(fps), strict=True))], "node long, lanes array<long>, values array<long>")
+    far = simhash.distances(0.8)[1]
+    want = simhash.components(simhash.value_links(nodes, far)).collect()
+    for rows in (11, 150):
+        assert sorted(simhash.components(simhash.value_links(nodes, far, bucket_rows=rows)).collect()) == sorted(want)
+
+
+def test_spanning_forests_are_least():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(2, 40))
+        a, b = np.triu_indices(n, 1)
+        keep = rng.random(len(a)) < 0.2
+        a, b = a[keep], b[keep]
+        d = rng.integers(0, 9, len(a))
+        chosen = set(simhash.spanning_forest(n, a, b, d).tolist())
+        total, forest = 0, simhash.Forest(n)
+        for i in np.argsort(d, kind="stable").tolist():
+            total += int(d[i]) if forest.join(int(a[i]), int(b[i])) else 0
+        assert sum(int(d[i]) for i in chosen) == total and len(chosen) == n - len({forest.root(x) for x in range(n)})
 
 
 def test_links_in_hot_buckets(spark):
