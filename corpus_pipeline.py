@@ -3,7 +3,8 @@
 Each stage gets what its predecessor kept, reread from Parquet:
 
 1. quality: documents that fail the quality rules go;
-2. near_dedup: of each group of SimHash near-duplicates the smallest doc_id stays;
+2. near_dedup: of each group of near copies (five-word shingles, similarity of 0.8 or
+   more, found by SimHash) the row with the smallest doc_id stays;
 3. decontamination: documents that share a span of ten words with `benchmark` (or a
    whole shorter item) go;
 4. secrets: found spans are replaced by [SECRET], and n_chars follows;
