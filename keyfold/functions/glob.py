@@ -57,5 +57,8 @@ def matches(column: Column, glob: str, classes: bool = True) -> Column:
 
 def regex_column(glob: Column) -> Column:
     """The same for a column of patterns without classes, as subscriptions have them."""
-    quoted = F.regexp_replace(glob, r"([.^$|+(){}\[\]])", r"\\$1")
-    return F.concat(F.lit(r"(?s)\A"), F.regexp_replace(F.regexp_replace(quoted, r"\?", "."), r"\*", ".*"), F.lit(r"\z"))
+    tokens = F.regexp_extract_all(glob, F.lit(r"(?s)(\\.|.)"), 1)
+    own = lambda x: F.when(F.length(x) > 1, F.substring(x, 2, 1)).otherwise(x)  # noqa: E731  an escaped character without its backslash
+    literal = lambda x: F.regexp_replace(own(x), r"([.^$|*?+(){}\[\]\\])", r"\\$1")
+    parts = F.transform(tokens, lambda x: F.when(x == "*", ".*").when(x == "?", ".").otherwise(literal(x)))
+    return F.concat(F.lit(r"(?s)\A"), F.array_join(parts, ""), F.lit(r"\z"))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder is set where that is unset."""
+    """A new path under spark.checkpoint.dir. On one machine a temporary folder is set where that is unset; a cluster needs a shared one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="keyfold-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/keyfold-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -34,3 +34,21 @@ def last_write(incoming: DataFrame, on: list[str], value: str, order: str) -> Da
 def integer(text: Column) -> Column:
     """The number that a text stands for, null for any other text (blanks are not skipped)."""
     return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("long"))
+
+
+# Commands that write, by which of their arguments are keys.
+FIRST = (
+    "SET", "SETNX", "SETEX", "PSETEX", "GETSET", "APPEND", "INCR", "INCRBY", "DECR", "DECRBY", "SETRANGE", "SETBIT",
+    "LPUSH", "RPUSH", "LPOP", "RPOP", "LSET", "LTRIM", "LREM", "SADD", "SREM", "SPOP", "HSET", "HMSET", "HDEL", "HINCRBY",
+    "ZADD", "ZREM", "ZINCRBY", "ZPOPMIN", "ZPOPMAX", "ZREMRANGEBYRANK", "ZREMRANGEBYSCORE", "ZREMRANGEBYLEX",
+    "EXPIRE", "PEXPIRE", "PERSIST", "XADD", "XDEL", "XTRIM",
+)
+ALL = ("DEL",)
+ALL_BUT_LAST = ("BLPOP", "BRPOP")
+PAIRS = ("MSET",)
+FIRST_TWO = ("RENAME", "RENAMENX")
+FLUSHES = ("FLUSHDB", "FLUSHALL")
+
+
+def is_write(name: Column) -> Column:
+    return name.isin(*FIRST, *ALL, *ALL_BUT_LAST, *PAIRS, *FIRST_TWO, *FLUSHES)

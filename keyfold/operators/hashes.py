@@ -32,7 +32,7 @@ def mget(hashes: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def packed(hashes: DataFrame) -> DataFrame:
-    """(db, key, fields MAP): HGETALL, HKEYS and HVALS of every hash in one row."""
+    """(db, key, fields MAP): HGETALL of every hash in one row; HKEYS and HVALS are columns of the rows themselves."""
     return hashes.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
 
 

@@ -68,7 +68,7 @@ def remove(lists: DataFrame, value: str, count: int) -> DataFrame:
         return lists.where(~F.col("value").eqNullSafe(F.lit(value)))
     order = F.col("pos") if count > 0 else F.col("pos").desc()
     nth = F.row_number().over(Window.partitionBy(*KEY, "value").orderBy(order))
-    return lists.withColumn("nth", nth).where((F.col("value") != value) | (F.col("nth") > abs(count))).drop("nth")
+    return lists.withColumn("nth", nth).where(~F.col("value").eqNullSafe(F.lit(value)) | (F.col("nth") > abs(count))).drop("nth")
 
 
 def blocking_pop(lists: DataFrame, requests: DataFrame, head: bool = True) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyfold.functions.glob import regex_column
 
-#: Patterns go along with every task, so their number is checked.
-MOST_PATTERNS = 100_000
+#: Characters of a pattern's literal start or end, and of one inside, by which it is looked up.
+KEY_CHARS, GRAM = 8, 3
 
 
 def live_subscriptions(log: DataFrame) -> DataFrame:
@@ -27,29 +27,45 @@ def subscription_counts(log: DataFrame) -> DataFrame:
     return steps.select("conn", "seq", F.sum("step").over(Window.partitionBy("conn").orderBy("seq")).alias("n"))
 
 
-def checked_patterns(subs: DataFrame) -> DataFrame:
-    """(topic): distinct patterns, of which there may be MOST_PATTERNS."""
-    patterns = subs.where("kind = 'pattern'").select("topic").distinct()
-    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} distinct patterns")
-    return patterns
+def literal_of(topic: Column) -> Column:
+    """(side, text) of a pattern: characters that a match has for sure, at its start, at its end or anywhere; without any, the side is none."""
+    run = r"[^*?\\]+"
+    start, end = (F.regexp_extract(topic, x, 0) for x in (f"^{run}", f"{run}$"))
+    inner = F.array_max(F.transform(F.regexp_extract_all(topic, F.lit(f"({run})"), 1), lambda x: F.struct(F.length(x).alias("n"), x.alias("text"))))["text"]
+    key = lambda side, text: F.struct(F.lit(side).alias("side"), text.alias("text"))
+    return (
+        F.when((start != "") & (F.length(start) >= F.length(end)), key("start", F.substring(start, 1, KEY_CHARS)))
+        .when(end != "", key("end", F.substring(end, F.greatest(F.length(end) - KEY_CHARS + 1, F.lit(1)), F.lit(KEY_CHARS))))
+        .when(inner.isNotNull(), key("inside", F.substring(inner, 1, GRAM)))
+        .otherwise(key("none", F.lit("")))
+    )
+
+
+def literals_in(channel: Column) -> Column:
+    """All keys by which literal_of can name a pattern that matches the channel: some thirty, and its runs of up to GRAM characters."""
+    n = F.length(channel)
+    up_to = lambda most: F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(most)), F.lit(1)))
+    key = lambda side, text: F.struct(F.lit(side).alias("side"), text.alias("text"))
+    starts = F.transform(up_to(KEY_CHARS), lambda i: key("start", F.substring(channel, F.lit(1), i)))
+    ends = F.transform(up_to(KEY_CHARS), lambda i: key("end", F.substring(channel, n - i + 1, i)))
+    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    inside = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.least(n - i + 1, F.lit(GRAM)), F.lit(1))), lambda k: key("inside", F.substring(channel, i, k)))))
+    return F.array_distinct(F.concat(starts, ends, inside, F.array(key("none", F.lit("")))))
 
 
 def route(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """(msg, conn, via, topic): each connection gets a message once, by its channel before any pattern, then by the least pattern.
 
-    messages: msg, channel. Channels are an equi-join. Patterns are matched against
-    distinct channels only, and what matched joins back by channel.
+    messages: msg, channel. Channels are an equi-join. Patterns meet distinct channels by
+    a literal that both have, also an equi-join whatever their number, and are then
+    matched; what matched joins back by channel. Only patterns made of * and ? alone meet
+    every channel, of which they match most.
     """
     exact = subs.where("kind = 'channel'").select(F.col("topic").alias("channel"), "conn", F.lit("channel").alias("via"), "topic")
-    patterns = checked_patterns(subs)
-    channels = messages.select("channel").distinct()
-    # a pattern that starts with a plain character meets only channels with that character
-    head = F.regexp_extract("topic", r"^[^*?\\]", 0)
-    patterns = patterns.select("topic", head.alias("head"), regex_column(F.col("topic")).alias("regex"))
-    headed = channels.withColumn("head", F.substring("channel", 1, 1)).join(F.broadcast(patterns.where("head != ''")), "head")
-    free = channels.join(F.broadcast(patterns.where("head = ''")), F.rlike("channel", F.col("regex")))
-    pairs = headed.where(F.rlike("channel", F.col("regex"))).select("channel", "topic").unionByName(free.select("channel", "topic"))
+    patterns = subs.where("kind = 'pattern'").select("topic").distinct().select("topic", literal_of(F.col("topic")).alias("literal"), regex_column(F.col("topic")).alias("regex"))
+    wanted_literals = patterns.select("literal").distinct()
+    channels = messages.select("channel").distinct().select("channel", F.explode(literals_in(F.col("channel"))).alias("literal")).join(wanted_literals, "literal", "left_semi")
+    pairs = channels.join(patterns, "literal").where(F.rlike("channel", F.col("regex"))).select("channel", "topic")
     by_pattern = pairs.join(subs.where("kind = 'pattern'").select("topic", "conn"), "topic").select("channel", "conn", F.lit("pattern").alias("via"), "topic")
     wanted = exact.unionByName(by_pattern).groupBy("channel", "conn").agg(F.min(F.struct("via", "topic")).alias("best"))
     return messages.select("msg", "channel").join(wanted, "channel").select("msg", "conn", "best.via", "best.topic")

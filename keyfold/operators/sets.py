@@ -33,19 +33,20 @@ def cardinality(sets: DataFrame) -> DataFrame:
 
 
 def union(sets: DataFrame, keys: list[str]) -> DataFrame:
-    """(member): a missing key is the empty set."""
-    return sets.where(F.col("key").isin(keys)).select("member").distinct()
+    """(db, member), in each database: a missing key is the empty set."""
+    return sets.where(F.col("key").isin(keys)).select("db", "member").distinct()
 
 
 def intersection(sets: DataFrame, keys: list[str]) -> DataFrame:
-    """(member): in all keys; one aggregation for any number of sets."""
+    """(db, member): in all keys of a database; one aggregation for any number of sets."""
     wanted = list(dict.fromkeys(keys))
-    return sets.where(F.col("key").isin(wanted)).groupBy("member").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("member")
+    return sets.where(F.col("key").isin(wanted)).groupBy("db", "member").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("db", "member")
 
 
 def difference(sets: DataFrame, first: str, rest: list[str]) -> DataFrame:
-    """(member): in first and in none of rest."""
-    return sets.where(F.col("key") == first).select("member").join(sets.where(F.col("key").isin(rest)).select("member"), "member", "left_anti")
+    """(db, member): in first and in none of rest of the same database."""
+    others = sets.where(F.col("key").isin(rest)).select("db", "member")
+    return sets.where(F.col("key") == first).select("db", "member").join(others, ["db", "member"], "left_anti")
 
 
 def sample(sets: DataFrame, count: int, seed: int) -> DataFrame:

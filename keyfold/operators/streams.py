@@ -86,18 +86,27 @@ def create_groups(stream: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(ends, KEY, "left").select(*GROUP, at["ms"].alias("last_ms"), at["seq"].alias("last_seq"))
 
 
-def deliver(stream: DataFrame, groups: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+def deliver(stream: DataFrame, groups: DataFrame, requests: DataFrame, now: Column, span_ms: int = 3_600_000) -> DataFrame:
     """XREADGROUP with `>`: new pel rows, with request and fields.
 
     requests: db, key, grp, request, consumer, count. Requests of a group are served in
-    order of request, each taking its count of the entries beyond the cursor: running
-    totals of the counts cut the numbered entries into ranges.
+    order of request, each taking its count of the entries beyond the cursor. Entries are
+    numbered within spans of `span_ms`, from the number of entries in the spans before, so
+    that a long stream is not one task; each request becomes the numbers that it takes and
+    that there are, and both meet by number: every entry meets one request at most.
     """
     fresh = stream.join(groups, KEY).where(ids.stream_id() > ids.stream_id(F.col("last_ms"), F.col("last_seq")))
-    fresh = fresh.withColumn("nth", F.row_number().over(_by_id(keys=GROUP)))
+    fresh = fresh.withColumn("span", F.floor(F.col("ms") / span_ms))
+    spans = fresh.groupBy(*GROUP, "span").agg(F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy(*GROUP).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(*GROUP, "span", "n", earlier.alias("before"))
+    inside = F.row_number().over(_by_id(keys=[*GROUP, "span"]))
+    fresh = fresh.withColumn("at", inside).join(spans.drop("n"), [*GROUP, "span"]).withColumn("nth", F.col("before") + F.col("at")).drop("span", "at", "before")
+    there = spans.groupBy(*GROUP).agg(F.sum("n").alias("there"))
     so_far = F.sum("count").over(Window.partitionBy(*GROUP).orderBy("request"))
-    turns = requests.withColumn("to", so_far).withColumn("from", F.col("to") - F.col("count"))
-    served = fresh.join(turns, GROUP).where((F.col("nth") > F.col("from")) & (F.col("nth") <= F.col("to")))
+    turns = requests.withColumn("to", so_far).withColumn("from", F.col("to") - F.col("count") + 1).join(there, GROUP).where(F.col("from") <= F.col("there")).where("count > 0")
+    turns = turns.select(*GROUP, "request", "consumer", F.explode(F.sequence("from", F.least("to", "there"))).alias("nth"))
+    served = fresh.join(turns, [*GROUP, "nth"])
     return served.select(*PENDING, "request", "consumer", now.alias("delivered_at"), F.lit(1).cast("long").alias("delivery_count"), "fields")
 
 
@@ -171,6 +180,26 @@ def consumer_info(consumers: DataFrame, pel: DataFrame, now: Column) -> DataFram
     return rows.select(*GROUP, "consumer", F.coalesce("pending", F.lit(0)).alias("pending"), (F.unix_millis(now) - F.unix_millis("last_seen")).alias("idle"))
 
 
+def set_ids(groups: DataFrame, stream: DataFrame, wanted: DataFrame) -> DataFrame:
+    """XGROUP SETID: all grp rows, with the cursors of wanted (db, key, grp, start) set as create_groups sets them. Groups that don't exist are not made."""
+    new = create_groups(stream, wanted).select(*GROUP, F.col("last_ms").alias("new_ms"), F.col("last_seq").alias("new_seq"))
+    return groups.join(new, GROUP, "left").select(*GROUP, F.coalesce("new_ms", "last_ms").alias("last_ms"), F.coalesce("new_seq", "last_seq").alias("last_seq"))
+
+
+def destroy_groups(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """XGROUP DESTROY: what is left of a table by group: grp, pel or consumers."""
+    return rows.join(gone.select(*GROUP), GROUP, "left_anti")
+
+
+def create_consumers(consumers: DataFrame, wanted: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """XGROUP CREATECONSUMER: (all consumers, (db, key, grp, consumer, created 0/1) of wanted)."""
+    asked = wanted.select(*GROUP, "consumer").distinct()
+    known = consumers.select(*GROUP, "consumer", F.lit(1).alias("there"))
+    told = asked.join(known, [*GROUP, "consumer"], "left").select(*GROUP, "consumer", F.when(F.col("there").isNull(), 1).otherwise(0).alias("created"))
+    new = told.where("created = 1").select(*GROUP, "consumer", now.alias("last_seen"))
+    return consumers.unionByName(new), told
+
+
 def delete_consumer(pel: DataFrame, consumer: str) -> tuple[DataFrame, DataFrame]:
     """XGROUP DELCONSUMER: (pel rows left, dropped rows per group)."""
     gone = pel.where(F.col("consumer") == consumer)

@@ -21,10 +21,23 @@ def mget(strings: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def put(strings: DataFrame, incoming: DataFrame, when: str = "always") -> DataFrame:
-    """SET, MSET, SETEX: incoming has db, key, value, pos; of a key's writes the last holds."""
+    """SET, MSET: incoming has db, key, value, pos; of a key's writes the last holds."""
     return upsert(strings.select(*KEY, "value"), last_write(incoming, KEY, "value", "pos"), KEY, when)
 
 
+def put_for(strings: DataFrame, keys: DataFrame, incoming: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """SET, SETEX and PSETEX: (values, keyspace) after writes (db, key, value, pos, ms); ms is the limit, null clears what was set.
+
+    A limit of 0 or less is refused: such a write changes nothing. Of a key's writes the
+    last that isn't refused holds, value and limit alike, whatever the key's type was.
+    """
+    last = incoming.where("ms is null or ms > 0").groupBy(*KEY).agg(F.max_by(F.struct("value", "ms"), "pos").alias("w"))
+    last = last.select(*KEY, "w.value", F.timestamp_millis(F.unix_millis(now) + F.col("w.ms")).alias("expires_at"))
+    names = last.withColumn("type", F.lit("string"))
+    left = keys.join(last.select(*KEY), KEY, "left_anti").unionByName(names.select(*KEY, "type", "expires_at"), allowMissingColumns=True)
+    return upsert(strings.select(*KEY, "value"), last.select(*KEY, "value"), KEY), left
+
+
 def set_if_absent(strings: DataFrame, incoming: DataFrame) -> DataFrame:
     """(db, key, pos, done): SETNX one after the other; only a key's first write can succeed."""
     first = F.row_number().over(Window.partitionBy(*KEY).orderBy("pos")) == 1

@@ -122,9 +122,12 @@ def key_flushdb(t: Tables) -> DataFrame:
     return keyspace.flush(t.keys, 3).groupBy("db").agg(F.count("*").alias("n"))
 
 
-@query(with_("ks", body="SELECT db, key FROM ks WHERE false"))
+@query(with_("ks", body="SELECT 'before' AS time, db, count(*) AS n FROM ks GROUP BY db UNION ALL SELECT 'after', 99, 0"))
 def key_flushall(t: Tables) -> DataFrame:
-    return keyspace.flush(t.keys).select("db", "key")
+    """Numbers of keys before and after; 99 stands for all databases."""
+    before = t.keys.groupBy("db").agg(F.count("*").alias("n")).select(F.lit("before").alias("time"), "db", "n")
+    after = keyspace.flush(t.keys).agg(F.count("*").alias("n")).select(F.lit("after").alias("time"), F.lit(99).alias("db"), "n")
+    return before.unionByName(after)
 
 
 @query(with_("ks", body="SELECT key, type FROM ks WHERE db = 5"))
@@ -284,6 +287,31 @@ def group_consumers_info(t: Tables) -> DataFrame:
     return streams.consumer_info(_consumers(t), t.pending, _ms(t.event_now)).select("key", "consumer", "pending", "idle")
 
 
+_SETID = f"SELECT key, 'g0' AS grp, CAST({_FROM} AS BIGINT) AS last_ms, CAST(0 AS BIGINT) AS last_seq FROM stm GROUP BY key UNION ALL SELECT key, 'g1', CASE WHEN key < 'm' THEN 5 ELSE max(ms) END, CASE WHEN key < 'm' THEN 3 ELSE max_by(seq, ms) END FROM stm GROUP BY key"
+
+
+@query(with_("stm", body=_SETID))
+def group_setid(t: Tables) -> DataFrame:
+    """The cursors of some groups are set to an id; a group that doesn't exist is not made."""
+    groups = streams.create_groups(t.stream, _wanted(t))
+    wanted = _wanted(t).where("grp = 'g1' and key < 'm'").select("db", "key", F.explode(F.array(F.lit("g1"), F.lit("none"))).alias("grp"), F.lit("5-3").alias("start"))
+    return streams.set_ids(groups, t.stream, wanted).select("key", "grp", "last_ms", "last_seq")
+
+
+@query(with_("stm", body=f", {_PEL} SELECT key, count(*) AS pending FROM pel WHERE key >= 'm' GROUP BY key"))
+def group_destroy(t: Tables) -> DataFrame:
+    """What is pending once some groups are gone."""
+    gone = _wanted(t).where("grp = 'g1' and key < 'm'")
+    return streams.destroy_groups(t.pending, gone).groupBy("key").agg(F.count("*").alias("pending"))
+
+
+@query("SELECT event_type AS key, unnest(['w1', 'w9']) AS consumer, unnest([CASE WHEN bool_or(user_id % 5 = 1) THEN 0 ELSE 1 END, 1]) AS created FROM events GROUP BY event_type")
+def group_createconsumer(t: Tables) -> DataFrame:
+    names = _consumers(t).select("db", "key", "grp").distinct()
+    wanted = names.select("*", F.explode(F.array(F.lit("w1"), F.lit("w9"), F.lit("w9"))).alias("consumer"))
+    return streams.create_consumers(_consumers(t), wanted, t.now)[1].select("key", "consumer", "created")
+
+
 @query(with_("stm", body=f", {_PEL} SELECT key, count(*) AS dropped FROM pel WHERE consumer = 'w3' GROUP BY key"))
 def group_delconsumer(t: Tables) -> DataFrame:
     return streams.delete_consumer(t.pending, "w3")[1].select("key", "dropped")

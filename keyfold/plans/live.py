@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.functions.scratch import fresh_path
+from keyfold.operators import admin
 from keyfold.plans import fold
 from keyfold.plans.fixtures import Tables, with_
 from keyfold.plans.logs import _MSG, _ROUTE, _SUBS, _subs
@@ -83,6 +84,13 @@ def streaming_log_replay(t: Tables) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("value", "batch").alias("value"))
 
 
+@query("SELECT event_id AS seq, (epoch_us(ts) // 1000000) || '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') || ' [0 ' || user_id || '] \"' || event_type || '\" \"say \\\"' || event_id || '\\\"\"' AS line FROM events")
+def streaming_monitor(t: Tables) -> DataFrame:
+    said = F.concat(F.lit('say "'), F.col("event_id").cast("string"), F.lit('"'))
+    log = _events(t).select(F.col("event_id").alias("seq"), "ts", F.lit("0").alias("db"), F.col("user_id").cast("string").alias("conn"), F.array("event_type", said).alias("argv"))
+    return _ran(t, admin.monitor(log)).select("seq", "line")
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 
@@ -104,12 +112,22 @@ def snapshot_lastsave(t: Tables) -> DataFrame:
 
 @query(with_("log", body="SELECT 'h:' || slot AS key, count(*) AS commands, CAST(sum(amount) AS BIGINT) AS total FROM log WHERE event_type = 'purchase' GROUP BY slot"))
 def log_source_replay(t: Tables) -> DataFrame:
-    """The log written as command files in order of seq, read again, and folded."""
+    """The log written as command files in order of seq, in two appends, read again, and folded."""
     t.spark.dataSource.register(CommandLog)
     path = fresh_path(t.spark, "commands")
-    ordered = t.log.repartitionByRange("seq").sortWithinPartitions("seq").select(F.lit("").alias("file"), F.lit(0).cast("long").alias("pos"), "argv")
-    ordered.write.format("command_log").mode("append").save(path)
+    first, second = t.log.where("seq <= 5000"), t.log.where("seq > 5000")
+    for part in (first, second):
+        ordered = part.repartitionByRange("seq").sortWithinPartitions("seq").select(F.lit("").alias("file"), F.lit(0).cast("long").alias("pos"), "argv")
+        ordered.write.format("command_log").mode("append").save(path)
     back = t.spark.read.format("command_log").load(path)
     rows = fold.commands(back.select(F.col("pos").alias("seq"), F.lit(None).cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("conn"), F.lit(0).alias("db"), "argv"))
     adds = rows.where("name = 'HINCRBY'")
     return adds.groupBy("key").agg(F.count("*").alias("commands"), F.sum(F.get("args", F.lit(1)).cast("long")).alias("total"))
+
+
+@query(with_("log", body="SELECT 'k:' || slot AS key, max_by(CAST(amount AS VARCHAR), seq) AS value FROM log WHERE event_type IN ('signup', 'error') GROUP BY slot HAVING max_by(event_type, seq) = 'signup'"))
+def log_compact(t: Tables) -> DataFrame:
+    """BGREWRITEAOF: what the log comes to, as a base that loads without it."""
+    path = fresh_path(t.spark, "base")
+    snapshot.compact(fold.last_values(t.log.where("argv[0] in ('SET', 'DEL')")), path, t.now)
+    return snapshot.load(t.spark, path, t.now)["strings"].select("key", "value")

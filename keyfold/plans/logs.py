@@ -79,6 +79,23 @@ def log_fold_lww(t: Tables) -> DataFrame:
     return fold.last_values(t.log).select("key", "value", "seq")
 
 
+_PARTS = """, e AS (SELECT slot, seq, event_type AS kind, CAST(amount AS VARCHAR) AS text FROM log WHERE event_type IN ('signup', 'error', 'click', 'purchase')),
+r AS (SELECT slot, max(seq) AS reset_at, max_by(kind, seq) AS kind, max_by(text, seq) AS text FROM e WHERE kind IN ('signup', 'error') GROUP BY slot),
+l AS (SELECT e.slot, e.seq, e.kind, e.text, row_number() OVER (PARTITION BY e.slot ORDER BY e.seq) AS n, r.kind AS after FROM e LEFT JOIN r USING (slot) WHERE e.kind IN ('click', 'purchase') AND (reset_at IS NULL OR e.seq > reset_at)),
+m AS (SELECT slot, string_agg(text, '' ORDER BY seq) AS more, max(seq) AS seq FROM l WHERE kind = 'click' OR n = 1 AND coalesce(after, 'error') = 'error' GROUP BY slot)
+SELECT 'k:' || slot AS key, CASE WHEN kind = 'signup' THEN text ELSE '' END || coalesce(more, '') AS value, coalesce(seq, reset_at) AS seq FROM r FULL JOIN m USING (slot) WHERE kind = 'signup' OR more IS NOT NULL"""
+
+
+@query(with_("log", body=_PARTS))
+def log_fold_values(t: Tables) -> DataFrame:
+    """SET, DEL, APPEND and SETNX of the same keys."""
+    name = F.when(F.col("event_type") == "signup", "SET").when(F.col("event_type") == "error", "DEL").when(F.col("event_type") == "click", "APPEND").when(F.col("event_type") == "purchase", "SETNX")
+    slot, amount = F.concat(F.lit("k:"), F.col("event_id") % 50), F.floor("value").cast("string")
+    argv = F.when(name == "DEL", F.array(name, slot)).otherwise(F.array(name, slot, amount))
+    rows = t.events.where(name.isNotNull()).select(F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("conn"), F.lit(0).alias("db"), argv.alias("argv"))
+    return fold.last_values(rows).select("key", "value", "seq")
+
+
 _COUNTERS = """, r AS (SELECT slot, max(seq) AS reset, max_by(event_type, seq) AS kind, max_by(amount, seq) AS amount FROM log WHERE event_type IN ('signup', 'error') GROUP BY slot),
 c AS (SELECT log.slot, count(*) AS n FROM log LEFT JOIN r USING (slot) WHERE event_type = 'click' AND (reset IS NULL OR seq > reset) GROUP BY log.slot)
 SELECT 'k:' || coalesce(r.slot, c.slot) AS key, CAST(CASE WHEN kind = 'signup' THEN amount ELSE 0 END + coalesce(n, 0) AS BIGINT) AS value FROM r FULL JOIN c USING (slot) WHERE n IS NOT NULL OR kind = 'signup'"""
@@ -96,11 +113,9 @@ def log_fold_hash_counters(t: Tables) -> DataFrame:
 
 @query(with_("log", body=_COUNTERS))
 def log_replay_counters(t: Tables) -> DataFrame:
-    """Tier 3: the last reply of every counter after replaying all commands gives what the aggregations give."""
-    last = fold.replay(t.log.where("argv[0] in ('SET', 'INCR', 'DEL')")).groupBy("key").agg(F.max_by(F.struct("name", "reply", "seq"), "seq").alias("r"))
-    amounts = fold.commands(t.log).select("seq", F.get("args", F.lit(0)).alias("arg"))
-    rows = last.where("r.name != 'DEL'").select("key", "r.*").join(amounts, "seq")
-    return rows.select("key", F.when(F.col("name") == "SET", F.col("arg")).otherwise(F.col("reply")).cast("long").alias("value"))
+    """The last reply of every counter gives what the aggregations give."""
+    last = fold.replies(t.log).groupBy("key").agg(F.max_by(F.struct("name", "reply"), "seq").alias("r"))
+    return last.where("r.name != 'DEL'").select("key", F.col("r.reply").alias("value"))
 
 
 @query(with_("log", body="SELECT seq, event_type FROM log WHERE seq > 9000"))
@@ -113,17 +128,26 @@ def log_replay_offset(t: Tables) -> DataFrame:
 
 
 def _txn_log(t: Tables) -> DataFrame:
-    """Blocks of ten events per connection: WATCH, a write, MULTI, three writes, EXEC (or DISCARD in every fourth block), two reads, a write."""
+    """Blocks of ten events per connection: WATCH, a write, MULTI, three writes, EXEC (or DISCARD in every fourth block), two reads, a write.
+
+    The writes outside MULTI are SET, SETEX, DEL of two keys, RENAME or, for the most part, reads.
+    """
     rows = t.table("events").select((F.col("event_id") % 20).alias("conn"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.lit(0).alias("db"), F.floor(F.col("event_id") / 20).alias("i"))
     step, block = F.col("i") % 10, F.floor(F.col("i") / 10)
     own = F.concat(F.lit("k:"), (F.col("conn") * 3 + block * 7) % 40)
     other = F.concat(F.lit("k:"), (F.col("conn") + F.col("i") * 11) % 40)
+    third = F.concat(F.lit("k:"), (F.col("conn") + F.col("i") * 5) % 40)
+    kind = F.col("seq") % 12
     argv = (
         F.when(step == 0, F.array(F.lit("WATCH"), own))
         .when(step == 2, F.array(F.lit("MULTI")))
         .when(step.isin(3, 4, 5), F.array(F.lit("INCR"), other))
         .when(step == 6, F.array(F.when(block % 4 == 3, "DISCARD").otherwise("EXEC")))
-        .when(step.isin(1, 9), F.when(F.col("seq") % 3 == 0, F.array(F.lit("SET"), other, F.lit("1"))).otherwise(F.array(F.lit("GET"), other)))
+        .when(step.isin(1, 9) & (kind == 0), F.array(F.lit("SET"), other, F.lit("1")))
+        .when(step.isin(1, 9) & (kind == 3), F.array(F.lit("SETEX"), other, F.lit("10"), F.lit("1")))
+        .when(step.isin(1, 9) & (kind == 6), F.array(F.lit("DEL"), third, other))
+        .when(step.isin(1, 9) & (kind == 9), F.array(F.lit("RENAME"), third, other))
+        .when(step.isin(1, 9), F.array(F.lit("GET"), other))
         .otherwise(F.array(F.lit("GET"), own))
     )
     return rows.select("seq", "ts", "conn", "db", argv.alias("argv"))
@@ -131,7 +155,7 @@ def _txn_log(t: Tables) -> DataFrame:
 
 _TXN = """WITH e AS (SELECT event_id % 20 AS conn, event_id AS seq, event_id // 20 AS i FROM events),
 l AS (
-  SELECT conn, seq, i % 10 AS step, i // 10 AS block, 'k:' || ((conn * 3 + (i // 10) * 7) % 40) AS own, 'k:' || ((conn + i * 11) % 40) AS other FROM e
+  SELECT conn, seq, i % 10 AS step, i // 10 AS block, 'k:' || ((conn * 3 + (i // 10) * 7) % 40) AS own, 'k:' || ((conn + i * 11) % 40) AS other, 'k:' || ((conn + i * 5) % 40) AS third FROM e
 ), w AS (SELECT *, step IN (1, 9) AND seq % 3 = 0 AS sets FROM l)"""
 
 
@@ -152,7 +176,7 @@ _ROUNDS = 12
 _ABORT = _WATCH + ", a0 AS (SELECT conn, txn FROM x WHERE false)" + "".join(
     f""", a{r + 1} AS (
   SELECT DISTINCT x.conn, x.txn FROM x JOIN (
-    SELECT other AS key, seq AS eff FROM w WHERE sets
+    SELECT other AS key, seq AS eff FROM w WHERE sets UNION ALL SELECT third, seq FROM w WHERE sets AND seq % 12 IN (6, 9)
     UNION ALL SELECT a.other, b.seq FROM w a JOIN w b ON a.conn = b.conn AND a.block = b.block AND a.step IN (3, 4, 5) AND b.step = 6 AND b.block % 4 <> 3
       WHERE (a.conn, a.block + 1) NOT IN (SELECT (conn, txn) FROM a{r})
   ) wr ON wr.key = x.key AND eff > watch_seq AND eff < exec_seq)"""
@@ -173,6 +197,21 @@ def txn_exec_results(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- figures
 
 
+@query(with_("log", body="SELECT count(*) AS commands, count(DISTINCT conn) AS connections, count(*) FILTER (event_type <> 'view') AS writes, count(DISTINCT event_type) AS names FROM log"))
+def info_stats(t: Tables) -> DataFrame:
+    return admin.stats(t.log)
+
+
+@query(with_("log", body="SELECT CASE event_type WHEN 'click' THEN 'INCR' WHEN 'view' THEN 'GET' WHEN 'purchase' THEN 'HINCRBY' WHEN 'signup' THEN 'SET' ELSE 'DEL' END AS name, count(*) AS calls FROM log GROUP BY 1"))
+def info_commandstats(t: Tables) -> DataFrame:
+    return admin.command_stats(t.log)
+
+
+@query(with_("hsh", "st", body="SELECT 'hash' AS type, count(DISTINCT key) AS keys, CAST(sum(strlen(field) + 24 + strlen(value) + 24) AS BIGINT) AS bytes FROM hsh UNION ALL SELECT 'set', count(DISTINCT key), CAST(sum(strlen(member) + 24) AS BIGINT) FROM st"))
+def info_memory(t: Tables) -> DataFrame:
+    return admin.memory_by_type({"hash": (t.hashes, ["field", "value"]), "set": (t.sets, ["member"])})
+
+
 @query(with_("ks", body="SELECT db, count(*) AS keys, count(expires_at) AS expires FROM ks GROUP BY db"))
 def info_keyspace(t: Tables) -> DataFrame:
     return admin.keyspace(t.keys)
@@ -242,3 +281,23 @@ def proc_compare_and_delete(t: Tables) -> DataFrame:
 def proc_rate_limit(t: Tables) -> DataFrame:
     calls = t.events.select(F.col("user_id").alias("client"), F.col("event_id").alias("call"), F.col("ms"))
     return procedures.call(t.spark, "rate_limit", calls=calls, window_ms=86_400_000, most=2).select(F.col("client").alias("user_id"), F.col("call").alias("event_id"), "allowed")
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 3600000000 ORDER BY event_id) <= 1 AS allowed FROM events")
+def proc_by_sha(t: Tables) -> DataFrame:
+    """EVALSHA: the procedure by the SHA-1 of its source."""
+    calls = t.events.select(F.col("user_id").alias("client"), F.col("event_id").alias("call"), F.col("ms"))
+    found = procedures.call(t.spark, procedures.sha_of("rate_limit"), calls=calls, window_ms=3_600_000, most=1)
+    return found.select(F.col("client").alias("user_id"), F.col("call").alias("event_id"), "allowed")
+
+
+@query("SELECT * FROM (VALUES (1, 'loaded', true), (2, 'never loaded', false), (3, 'flushed', false), (4, 'by name', true)) AS t(step, asked, known)")
+def proc_script(t: Tables) -> DataFrame:
+    """SCRIPT LOAD, EXISTS and FLUSH on a registry of its own."""
+    own = procedures.Registry()
+    own.load(procedures.rate_limit)
+    sha = own.sha_of("rate_limit")
+    steps = [(1, "loaded", own.known(sha)[0]), (2, "never loaded", own.known("0" * 40)[0])]
+    own.flush()
+    steps += [(3, "flushed", own.known(sha)[0]), (4, "by name", own.has("rate_limit"))]
+    return t.literal(steps, "step int, asked string, known boolean")

@@ -9,37 +9,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_BY_NAME: dict[str, Callable[..., DataFrame]] = {}
-_BY_SHA: dict[str, str] = {}
+class Registry:
+    """Procedures by name and by SHA-1."""
 
+    def __init__(self) -> None:
+        self.by_name: dict[str, Callable[..., DataFrame]] = {}
+        self.by_sha: dict[str, str] = {}
 
-def procedure(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """SCRIPT LOAD: the procedure composes lazy plans, so what it does is one job with its caller's."""
-    _BY_NAME[f.__name__] = f
-    _BY_SHA[hashlib.sha1(inspect.getsource(f).encode()).hexdigest()] = f.__name__
-    return f
+    def load(self, f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        """SCRIPT LOAD: the procedure composes lazy plans, so what it does is one job with its caller's."""
+        self.by_name[f.__name__] = f
+        self.by_sha[hashlib.sha1(inspect.getsource(f).encode()).hexdigest()] = f.__name__
+        return f
 
+    def known(self, *shas: str) -> list[bool]:
+        """SCRIPT EXISTS."""
+        return [s in self.by_sha for s in shas]
 
-def known(*shas: str) -> list[bool]:
-    """SCRIPT EXISTS."""
-    return [s in _BY_SHA for s in shas]
+    def has(self, name: str) -> bool:
+        return name in self.by_name
 
+    def sha_of(self, name: str) -> str:
+        return next(s for s, n in self.by_sha.items() if n == name)
 
-def sha_of(name: str) -> str:
-    return next(s for s, n in _BY_SHA.items() if n == name)
+    def flush(self) -> None:
+        """SCRIPT FLUSH: by SHA-1 no procedure is known any more; names stay."""
+        self.by_sha.clear()
 
+    def call(self, spark: SparkSession, name_or_sha: str, **arguments) -> DataFrame:
+        """EVAL by name, EVALSHA by SHA-1."""
+        name = self.by_sha.get(name_or_sha, name_or_sha)
+        if name not in self.by_name:
+            raise KeyError(f"NOSCRIPT {name_or_sha}")
+        return self.by_name[name](**arguments)
 
-def forget() -> None:
-    """SCRIPT FLUSH: by SHA-1 no procedure is known any more; names stay."""
-    _BY_SHA.clear()
 
-
-def call(spark: SparkSession, name_or_sha: str, **arguments) -> DataFrame:
-    """EVAL by name, EVALSHA by SHA-1."""
-    name = _BY_SHA.get(name_or_sha, name_or_sha)
-    if name not in _BY_NAME:
-        raise KeyError(f"NOSCRIPT {name_or_sha}")
-    return _BY_NAME[name](**arguments)
+_OWN = Registry()
+procedure, known, sha_of, call = _OWN.load, _OWN.known, _OWN.sha_of, _OWN.call
 
 
 @procedure

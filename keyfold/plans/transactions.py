@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyfold.functions.scratch import written
-from keyfold.plans.fold import commands, is_write
+from keyfold.operators.common import is_write
+from keyfold.plans.fold import commands, written_keys
 
 
 def _conn():
@@ -38,45 +41,69 @@ def watched(log: DataFrame) -> DataFrame:
     return closed.join(execs, ["conn", "exec_seq"]).select("conn", "txn", "db", "key", F.col("seq").alias("watch_seq"), "exec_seq")
 
 
-def outcomes(log: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(conn, txn, exec_seq, queued, aborted) of every EXEC: aborted if a watched key was written between WATCH and EXEC.
+def _scopes(key: Column, db: Column) -> Column:
+    """What a watch of a key looks out for: writes of the key, flushes of its database, flushes of all."""
+    scope = lambda kind, d, k: F.struct(F.lit(kind).alias("kind"), d.alias("db"), k.alias("key"))
+    return F.array(scope("key", db, key), scope("db", db, F.lit("")), scope("all", F.lit(-1), F.lit("")))
+
+
+def writes(rows: DataFrame) -> DataFrame:
+    """rows of sessions, one for each thing written: with scope (kind key, db or all; db; key)."""
+    keys = F.transform(written_keys(), lambda k: _scopes(k, F.col("db"))[0])
+    flush = F.when(F.col("name") == "FLUSHDB", F.array(_scopes(F.lit(""), F.col("db"))[1])).when(F.col("name") == "FLUSHALL", F.array(_scopes(F.lit(""), F.col("db"))[2]))
+    return rows.where(is_write(F.col("name"))).withColumn("scope", F.explode(F.coalesce(flush, keys)))
 
-    A queued write counts at its EXEC, and only if that one isn't aborted itself. So all
-    are first taken to commit, and each round leaves out the writes of those found
-    aborted, until nothing changes: an outcome rests on earlier ones only, so each round
-    settles at least the earliest that was open.
+
+def conflicts(log: DataFrame, period: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sessions, broken, edges): broken (exec_seq) by commands outside transactions; edges (source, target): target is broken if source commits.
+
+    Watches and writes meet by what is written and by periods of seq, then by exact
+    bounds, so a key that is written all the time meets each watch only while it is open.
     """
     rows = written(sessions(log), "sessions")
+    watches = watched(log).select("exec_seq", "watch_seq", F.explode(_scopes(F.col("key"), F.col("db"))).alias("scope")).groupBy("exec_seq", "scope").agg(F.min("watch_seq").alias("watch_seq"))
+    span = F.sequence(F.floor(F.col("watch_seq") / period), F.floor(F.col("exec_seq") / period))
+    watches = written(watches.select("exec_seq", "watch_seq", "scope", F.explode(span).alias("period")), "watches")
+    execs = rows.where("role = 'exec'").select("conn", "txn", F.col("seq").alias("at"))
+    done = writes(rows.where("role = 'none'")).select("scope", F.col("seq").alias("at"))
+    queued = writes(rows.where("role = 'queued'")).join(execs, ["conn", "txn"]).select("scope", "at").distinct()
+
+    def met(some: DataFrame) -> DataFrame:
+        some = some.withColumn("period", F.floor(F.col("at") / period))
+        return watches.join(some, ["scope", "period"]).where("watch_seq < at and at < exec_seq")
+
+    broken = written(met(done).select("exec_seq").distinct(), "broken")
+    edges = met(queued).select(F.col("at").alias("source"), F.col("exec_seq").alias("target")).distinct()
+    return rows, broken, written(edges, "edges")
+
+
+def outcomes(log: DataFrame) -> DataFrame:
+    """(conn, txn, exec_seq, queued, aborted) of every EXEC: aborted if a watched key was written between WATCH and EXEC.
+
+    A queued write counts at its EXEC, and only if that one isn't aborted itself. What
+    can break what is found once; then transactions that nothing open can break commit,
+    those that they break are aborted, and both leave with their edges, until no edge is
+    left. An edge leads to a later EXEC, so each round settles the earliest at least.
+    """
+    rows, broken, edges = conflicts(log)
+    parts = [broken]
+
+    def without(some: DataFrame, gone: DataFrame) -> DataFrame:
+        for end in ("source", "target"):
+            some = some.join(gone.select(F.col("exec_seq").alias(end)), end, "left_anti")
+        return some
+
+    edges = written(without(edges, broken), "edges")
+    while not edges.isEmpty():
+        sure = edges.join(edges.select(F.col("target").alias("source")), "source", "left_anti")
+        gone = written(sure.select(F.col("target").alias("exec_seq")).distinct(), "aborted")
+        parts.append(gone)
+        edges = written(without(edges, gone), "edges")
+    aborted = reduce(DataFrame.unionByName, parts)
     execs = rows.where("role = 'exec'").select("conn", "txn", F.col("seq").alias("exec_seq"))
     queued = rows.where("role = 'queued'").groupBy("conn", "txn").agg(F.count("*").alias("queued"))
-    watches = written(watched(log), "watched")
-    direct = rows.where(is_write(F.col("name")) & (F.col("role") == "none")).select("db", "key", F.col("seq").alias("at"))
-    inside = rows.where(is_write(F.col("name")) & (F.col("role") == "queued")).join(execs, ["conn", "txn"]).select("conn", "txn", "db", "key", F.col("exec_seq").alias("at"))
-    flushes = rows.where("name = 'FLUSHDB' and role = 'none'").select("db", F.col("seq").alias("at"))
-    direct = direct.unionByName(watches.select("db", "key").distinct().join(flushes, "db").select("db", "key", "at"))
-    direct, inside = written(direct, "direct-writes"), written(inside, "queued-writes")
-    aborted = None
-    for _ in range(most_rounds):
-        effective_writes = inside if aborted is None else inside.join(aborted, ["conn", "txn"], "left_anti")
-        new = written(_overtaken(watches, direct.unionByName(effective_writes.select("db", "key", "at"))), "aborted")
-        if aborted is not None and new.exceptAll(aborted).isEmpty() and aborted.exceptAll(new).isEmpty():
-            break
-        aborted = new
-    else:
-        raise RuntimeError(f"outcomes did not settle in {most_rounds} rounds")
-    flags = aborted.withColumn("aborted", F.lit(True))
-    return execs.join(queued, ["conn", "txn"], "left").join(flags, ["conn", "txn"], "left").select("conn", "txn", "exec_seq", F.coalesce("queued", F.lit(0)).alias("queued"), F.coalesce("aborted", F.lit(False)).alias("aborted"))
-
-
-def _overtaken(watches: DataFrame, writes: DataFrame) -> DataFrame:
-    """(conn, txn) with a write to a watched key after the watch and before the EXEC: the next write after each watch, by a window."""
-    none = lambda kind: F.lit(None).cast(kind)
-    events = writes.select("db", "key", F.col("at").alias("seq"), "at", none("long").alias("conn"), none("long").alias("txn"), none("long").alias("exec_seq")).unionByName(
-        watches.select("db", "key", F.col("watch_seq").alias("seq"), none("long").alias("at"), "conn", F.col("txn").cast("long").alias("txn"), "exec_seq")
-    )
-    after = Window.partitionBy("db", "key").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    hit = events.withColumn("next", F.first("at", ignorenulls=True).over(after)).where("conn is not null")
-    return hit.where("next < exec_seq").select("conn", "txn").distinct()
+    both = execs.join(queued, ["conn", "txn"], "left").join(aborted.withColumn("aborted", F.lit(True)), "exec_seq", "left")
+    return both.select("conn", "txn", "exec_seq", F.coalesce("queued", F.lit(0)).alias("queued"), F.coalesce("aborted", F.lit(False)).alias("aborted"))
 
 
 def effective(log: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.operators import hashes, lists, sets, strings, zsets
-from keyfold.plans.fixtures import Tables, db, with_
+from keyfold.plans.fixtures import NOW, Tables, db, with_
 from keyfold.plans.registry import query
 
 # ---------------------------------------------------------------- strings
@@ -53,6 +55,26 @@ def str_set_upsert(t: Tables) -> DataFrame:
     return strings.put(t.strings, _writes(t)).select("key", "value")
 
 
+_TIMED = f""", k AS (SELECT 'c:' || c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN epoch_us(TIMESTAMP '{NOW}') + 86400000000 END AS until FROM customer),
+w AS (
+  SELECT 'c:' || c_custkey AS key, 'timed' AS value, 1 AS pos, (c_custkey % 5 - 1) * 1000 AS ms FROM customer WHERE c_custkey % 4 = 0
+  UNION ALL SELECT 'c:' || c_custkey, 'plain', 2, NULL FROM customer WHERE c_custkey % 6 = 0
+), l AS (SELECT key, value AS new, ms FROM w WHERE ms IS NULL OR ms > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1)
+SELECT key, coalesce(new, value) AS value, CASE WHEN new IS NULL THEN until ELSE epoch_us(TIMESTAMP '{NOW}') + ms * 1000 END AS until FROM str JOIN k USING (key) LEFT JOIN l USING (key)"""
+
+
+@query(with_("str", body=_TIMED))
+def str_setex(t: Tables) -> DataFrame:
+    """SETEX and PSETEX set value and limit, a later SET clears the limit, and limits of 0 or less are refused."""
+    rows = t.table("customer")
+    name = F.concat(F.lit("c:"), "c_custkey").alias("key")
+    keys = rows.select(db(), name, F.lit("string").alias("type"), F.when(F.col("c_custkey") % 2 == 0, t.now + F.expr("interval 1 day")).alias("expires_at"))
+    timed = rows.where("c_custkey % 4 = 0").select(db(), name, F.lit("timed").alias("value"), F.lit(1).alias("pos"), ((F.col("c_custkey") % 5 - 1) * 1000).cast("long").alias("ms"))
+    plain = rows.where("c_custkey % 6 = 0").select(db(), name, F.lit("plain").alias("value"), F.lit(2).alias("pos"), F.lit(None).cast("long").alias("ms"))
+    values, names = strings.put_for(t.strings, keys, timed.unionByName(plain), t.now)
+    return values.join(names, ["db", "key"]).select("key", "value", F.unix_micros("expires_at").alias("until"))
+
+
 @query(with_("str", body=f", {_NEW} SELECT key, pos, CAST(row_number() OVER (PARTITION BY key ORDER BY pos) = 1 AND key NOT IN (SELECT key FROM str) AS INT) AS done FROM new"))
 def str_setnx(t: Tables) -> DataFrame:
     return strings.set_if_absent(t.strings, _writes(t)).select("key", "pos", "done")
@@ -153,6 +175,16 @@ def list_lpop(t: Tables) -> DataFrame:
     return lists.pop(t.lists, head=True).select("key", "value")
 
 
+@query(with_("lst", body="SELECT key, value, CAST(pos AS BIGINT) AS pos FROM (SELECT *, min(pos) OVER (PARTITION BY key) AS m FROM lst) WHERE pos > m"))
+def list_lpop_left(t: Tables) -> DataFrame:
+    return lists.popped(t.lists, head=True).select("key", "value", "pos")
+
+
+@query(with_("lst", body="SELECT key, max_by(value, pos) AS value FROM lst GROUP BY key"))
+def list_rpop_taken(t: Tables) -> DataFrame:
+    return lists.pop(t.lists, head=False).select("key", "value")
+
+
 @query(with_("lst", body="SELECT key, value, CAST(pos AS BIGINT) AS pos FROM (SELECT *, max(pos) OVER (PARTITION BY key) AS m FROM lst) WHERE pos < m"))
 def list_rpop(t: Tables) -> DataFrame:
     return lists.popped(t.lists, head=False).select("key", "value", "pos")
@@ -275,22 +307,34 @@ def set_card(t: Tables) -> DataFrame:
 
 @query(with_("st", body="SELECT DISTINCT member FROM st WHERE key IN ('y:1995', 'y:1996', 'none')"))
 def set_union(t: Tables) -> DataFrame:
-    return sets.union(t.sets, ["y:1995", "y:1996", "none"])
+    return sets.union(t.sets, ["y:1995", "y:1996", "none"]).select("member")
 
 
 @query(with_("st", body="SELECT member FROM st WHERE key = 'y:1996' INTERSECT SELECT member FROM st WHERE key = 'y:1997'"))
 def set_inter(t: Tables) -> DataFrame:
-    return sets.intersection(t.sets, ["y:1996", "y:1997"])
+    return sets.intersection(t.sets, ["y:1996", "y:1997"]).select("member")
 
 
 @query(with_("st", body="SELECT member FROM st WHERE key = 'y:1996' EXCEPT SELECT member FROM st WHERE key IN ('y:1997', 'none')"))
 def set_diff(t: Tables) -> DataFrame:
-    return sets.difference(t.sets, "y:1996", ["y:1997", "none"])
+    return sets.difference(t.sets, "y:1996", ["y:1997", "none"]).select("member")
 
 
-@query(with_("st", body="SELECT member FROM st WHERE key IN ('y:1993', 'y:1994', 'y:1995', 'y:1996') GROUP BY member HAVING count(*) = 4"))
+@query(with_("st", body="SELECT member FROM st WHERE key IN ('y:1995', 'y:1996', 'y:1997', 'y:1998') GROUP BY member HAVING count(*) = 4"))
 def set_inter_n(t: Tables) -> DataFrame:
-    return sets.intersection(t.sets, [f"y:{y}" for y in (1993, 1994, 1995, 1996)])
+    return sets.intersection(t.sets, [f"y:{y}" for y in (1995, 1996, 1997, 1998)]).select("member")
+
+
+_DBS = "dbs AS (SELECT o_orderkey % 3 AS db, 'y:' || year(o_orderdate) AS key, o_custkey AS member FROM orders GROUP BY ALL)"
+
+
+@query(f"WITH {_DBS} SELECT 'inter' AS op, db, member FROM dbs WHERE key IN ('y:1996', 'y:1997') GROUP BY db, member HAVING count(*) = 2 UNION ALL SELECT 'diff', db, member FROM dbs WHERE key = 'y:1996' AND (db, member) NOT IN (SELECT (db, member) FROM dbs WHERE key = 'y:1997') UNION ALL SELECT DISTINCT 'union', db, member FROM dbs WHERE key IN ('y:1996', 'y:1997')")
+def set_operations_by_db(t: Tables) -> DataFrame:
+    """Equal key names in three databases are different sets."""
+    rows = t.table("orders").select((F.col("o_orderkey") % 3).alias("db"), F.concat(F.lit("y:"), F.year("o_orderdate")).alias("key"), F.col("o_custkey").alias("member")).distinct()
+    both = ["y:1996", "y:1997"]
+    found = {"inter": sets.intersection(rows, both), "diff": sets.difference(rows, *both[:1], both[1:]), "union": sets.union(rows, both)}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(op).alias("op"), "db", "member") for op, df in found.items()])
 
 
 @query()
@@ -359,12 +403,12 @@ def hash_exists(t: Tables) -> DataFrame:
 
 @query(with_("hsh", body="SELECT key, field FROM hsh"))
 def hash_keys(t: Tables) -> DataFrame:
-    return hashes.packed(t.hashes).select("key", F.explode(F.map_keys("fields")).alias("field"))
+    return t.hashes.select("key", "field")
 
 
 @query(with_("hsh", body="SELECT key, value FROM hsh"))
 def hash_vals(t: Tables) -> DataFrame:
-    return hashes.packed(t.hashes).select("key", F.explode(F.map_values("fields")).alias("value"))
+    return t.hashes.select("key", "value")
 
 
 @query("SELECT 'o:' || l_orderkey AS key, CAST(coalesce(max(o_custkey), 0) + sum(l_linenumber) AS BIGINT) AS value FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey")
@@ -454,6 +498,16 @@ def zset_popmin(t: Tables) -> DataFrame:
     return zsets.pop(t.quantities, 3).select("key", "member", "score", "rank")
 
 
+@query(with_("z2", body=f"SELECT key, member, score FROM ({_RANK % ('', '', 'z2')}) WHERE rank >= 3"))
+def zset_popmin_left(t: Tables) -> DataFrame:
+    return zsets.popped(t.quantities, 3).select("key", "member", "score")
+
+
+@query(with_("z2", body=f"SELECT * FROM ({_RANK % ('DESC', 'DESC', 'z2')}) WHERE rank < 3"))
+def zset_popmax_taken(t: Tables) -> DataFrame:
+    return zsets.pop(t.quantities, 3, highest=True).select("key", "member", "score", "rank")
+
+
 @query(with_("z2", body=f"SELECT key, member, score FROM ({_RANK % ('DESC', 'DESC', 'z2')}) WHERE rank >= 3"))
 def zset_popmax(t: Tables) -> DataFrame:
     return zsets.popped(t.quantities, 3, highest=True).select("key", "member", "score")

@@ -1,14 +1,21 @@
 """Command logs as arrays of bulk strings (`*2\\r\\n$3\\r\\nGET\\r\\n...`): a Spark data source, read and write.
 
 `spark.dataSource.register(CommandLog)`, then `format("command_log")` with a folder URI
-that pyarrow.fs opens. A file is a partition; (file, pos) is the order of a log that was
-written in order. Rows are streamed, so memory is one command. A cut last command is an
-error unless the option `tail` is `ignore`.
+that pyarrow.fs opens. A file is a partition; `pos` is the order of the whole log, if it
+was written in order: the number of the file, times 2**40, and the place in it. Rows are
+streamed, so memory is one command. A cut last command is an error unless the option
+`tail` is `ignore`.
+
+Each write is a commit with a number and a list of its files, put in place last: readers
+see all of a write or nothing, an append follows what is there, and an overwrite hides
+it. One writer at a time. A folder without commits, as other tools leave it, is read by
+the names of its files.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -52,10 +59,30 @@ def decode(stream, tail: str = "error") -> Iterator[list[str]]:
         yield argv
 
 
+def commits(fs: pafs.FileSystem, root: str) -> list[tuple[int, dict]]:
+    """(number, {files, overwrite}) in order."""
+    found = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/_commits", allow_not_found=True)) if f.base_name.endswith(".json")]
+    out = []
+    for path in sorted(found):
+        with fs.open_input_stream(path) as f:
+            out.append((int(path.rsplit("/", 1)[1].removesuffix(".json")), json.loads(f.read())))
+    return out
+
+
+def listed(fs: pafs.FileSystem, root: str) -> list[str]:
+    """Names of the log's files in order."""
+    known = commits(fs, root)
+    if not known:
+        files = fs.get_file_info(pafs.FileSelector(root))
+        return sorted(f.base_name for f in files if f.is_file and not f.base_name.startswith(("_", ".")))
+    first = max((i for i, (_, c) in enumerate(known) if c["overwrite"]), default=0)
+    return [name for _, c in known[first:] for name in c["files"]]
+
+
 class _File(InputPartition):
-    def __init__(self, path: str, name: str) -> None:
+    def __init__(self, path: str, name: str, number: int) -> None:
         super().__init__(path)
-        self.name = name
+        self.name, self.number = name, number
 
 
 class _Reader(DataSourceReader):
@@ -64,48 +91,54 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_File]:
         fs, path = pafs.FileSystem.from_uri(self.path)
-        files = fs.get_file_info(pafs.FileSelector(path))
-        return [_File(f.path, f.base_name) for f in sorted(files, key=lambda f: f.base_name) if f.is_file and not f.base_name.startswith(("_", "."))]
+        return [_File(f"{path}/{name}", name, i) for i, name in enumerate(listed(fs, path))]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         fs, _ = pafs.FileSystem.from_uri(self.path)
         with fs.open_input_file(partition.value) as f:
             for pos, argv in enumerate(decode(io.BufferedReader(f, 1 << 20), self.tail)):
-                yield partition.name, pos, argv
+                yield partition.name, (partition.number << 40) + pos, argv
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, temporary: str, name: str) -> None:
-        self.temporary, self.name = temporary, name
+    def __init__(self, part: int, name: str) -> None:
+        self.part, self.name = part, name
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, overwrite: bool) -> None:
+        self.path, self.overwrite = path, overwrite
         fs, root = pafs.FileSystem.from_uri(path)
-        fs.create_dir(root, recursive=True)
+        fs.create_dir(f"{root}/_commits", recursive=True)
 
     def write(self, rows: Iterator) -> _Written:
         from pyspark import TaskContext
 
         fs, root = pafs.FileSystem.from_uri(self.path)
-        temporary = f"{root}/_temporary-{uuid.uuid4().hex}"
-        with fs.open_output_stream(temporary) as f:
+        part = TaskContext.get().partitionId()
+        name = f"log-{uuid.uuid4().hex}-{part:06d}"
+        with fs.open_output_stream(f"{root}/{name}") as f:
             for r in rows:
                 f.write(encode(list(r["argv"])))
-        return _Written(temporary, f"{root}/log-{TaskContext.get().partitionId():06d}")
+        return _Written(part, name)
 
     def commit(self, messages: list) -> None:
-        fs, _ = pafs.FileSystem.from_uri(self.path)
-        for m in messages:
-            if m is not None:
-                fs.move(m.temporary, m.name)
+        fs, root = pafs.FileSystem.from_uri(self.path)
+        known = commits(fs, root)
+        files = [m.name for m in sorted((m for m in messages if m is not None), key=lambda m: m.part)]
+        if not known and not self.overwrite:  # files of other tools that lay here before stay part of the log
+            files = [n for n in listed(fs, root) if n not in files and not n.startswith("log-")] + files
+        number = known[-1][0] + 1 if known else 0
+        temporary = f"{root}/_commits/{uuid.uuid4().hex}.tmp"
+        with fs.open_output_stream(temporary) as out:
+            out.write(json.dumps({"overwrite": self.overwrite, "files": files}).encode())
+        fs.move(temporary, f"{root}/_commits/{number:012d}.json")
 
     def abort(self, messages: list) -> None:
-        fs, _ = pafs.FileSystem.from_uri(self.path)
+        fs, root = pafs.FileSystem.from_uri(self.path)
         for m in messages:
             if m is not None:
-                fs.delete_file(m.temporary)
+                fs.delete_file(f"{root}/{m.name}")
 
 
 class CommandLog(DataSource):
@@ -120,4 +153,4 @@ class CommandLog(DataSource):
         return _Reader(self.options["path"], self.options.get("tail", "error"))
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)

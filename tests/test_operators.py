@@ -2,12 +2,13 @@
 
 import io
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from keyfold.functions import glob, ids
-from keyfold.operators import keyspace, lists, pubsub, sets, streams, strings, zsets
+from keyfold.operators import admin, keyspace, lists, pubsub, sets, streams, strings, zsets
 from keyfold.plans import fold, procedures, transactions
 from keyfold.sources import command_log, snapshot
 from keyfold.streaming import jobs
@@ -125,6 +126,37 @@ def test_limits_of_time(spark):
     assert {r.key for r in got.collect()} == {"b"} and keyspace.ttl(got, asked, now, 1000).where("key = 'b'").first().ttl == 1500
 
 
+def test_sets_of_two_databases(spark):
+    rows = table(spark, [(0, "a", "x"), (0, "b", "y"), (1, "a", "x"), (1, "b", "x"), (1, "a", "z"), (0, "a", "z")], "db int, key string, member string")
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    assert got(sets.intersection(rows, ["a", "b"])) == [(1, "x")]
+    assert got(sets.difference(rows, "a", ["b"])) == [(0, "x"), (0, "z"), (1, "z")]
+    assert got(sets.union(rows, ["a", "b"])) == [(0, "x"), (0, "y"), (0, "z"), (1, "x"), (1, "z")]
+
+
+def test_nulls_stay_in_lists(spark):
+    rows = table(spark, [(0, "l", i, v) for i, v in enumerate(["a", None, "a", "b"])], "db int, key string, pos long, value string")
+    left = lambda n: [r.value for r in lists.remove(rows, "a", n).orderBy("pos").collect()]
+    assert (left(0), left(1), left(-1)) == ([None, "b"], [None, "a", "b"], ["a", None, "b"])
+
+
+def test_save_rules_of_many_days(spark):
+    day = 86_400
+    writes = table(spark, [(t,) for t in (0, day, 2 * day - 1, 9 * day)], "t long").select(F.timestamp_seconds("t").alias("ts"))
+    got = {(r.second, r.changes, r.rule) for r in admin.save_points(writes, [(3 * day, 3), (10 * day, 4)]).collect()}
+    assert got == {(2 * day - 1, 3, f"{3 * day}/3"), (9 * day, 4, f"{10 * day}/4")}
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from keyfold.functions import scratch
+
+    remote = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch.fresh_path(remote, "x")
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -161,9 +193,40 @@ def test_dollar_starts_at_the_end(spark):
     assert got == {("s", "g"): (7, 2), ("none", "g"): (0, 0), ("s", "h"): (3, 4)}
 
 
+def test_delivery_in_spans(spark):
+    rng = random.Random(1)
+    entries = sorted({(rng.randrange(0, 400), rng.randrange(3)) for _ in range(200)})
+    stream = table(spark, [(0, "s", ms, seq, {"f": "v"}) for ms, seq in entries], "db int, key string, ms long, seq long, fields map<string,string>")
+    groups = table(spark, [(0, "s", "g", 20, 1), (0, "s", "h", 399, 9)], "db int, key string, grp string, last_ms long, last_seq long")
+    asks = [(0, "s", g, i, f"w{i % 3}", rng.choice([0, 1, 5, 40])) for g in "gh" for i in range(12)]
+    requests = table(spark, asks, "db int, key string, grp string, request long, consumer string, count int")
+    fresh, want = [e for e in entries if e > (20, 1)], {}
+    for _, _, g, i, consumer, n in asks:
+        if g == "g":
+            want.update({e: (i, consumer) for e in fresh[:n]})
+            fresh = fresh[n:]
+    for span in (7, 3_600_000):
+        got = streams.deliver(stream, groups, requests, F.lit("2024-01-01").cast("timestamp"), span).collect()
+        assert {(r.ms, r.seq): (r.request, r.consumer) for r in got} == want and len(got) == len(want)
+
+
 # ---------------------------------------------------------------- messages, logs, transactions
 
 
+def test_routes_by_any_literal(spark):
+    topics = ["*", "?", "a*", "*a", "*ab*", "a?c*x", "long.prefix.of.it*", "*.and.a.long.suffix", "\\*x", "x\\?*", "*\\?", "??", "[a]*", "a.b", "*b?d*", "é*", ""]
+    channels = ["", "a", "ab", "ba", "xaby", "abc.x", "azc", "long.prefix.of.it", "long.prefix.of.its", "x.and.a.long.suffix", "*x", "yx", "x?", "x?y", "xy", "[a]b", "a.b", "abcd", "zbcdz", "éa", "long.and.a.long.suffix"]
+    subs = table(spark, [(i, "pattern", t) for i, t in enumerate(topics)], "conn int, kind string, topic string")
+    messages = table(spark, list(enumerate(channels)), "msg int, channel string")
+
+    def fits(topic, channel):
+        parts = re.findall(r"\\(.)|(\*)|(\?)|(.)", topic, re.S)
+        return re.fullmatch("".join(re.escape(e or c) if e or c else ".*" if star else "." for e, star, _, c in parts), channel, re.S) is not None
+
+    want = {(m, i) for m, c in enumerate(channels) for i, t in enumerate(topics) if fits(t, c)}
+    assert {(r.msg, r.conn) for r in pubsub.route(messages, subs).collect()} == want
+
+
 def test_channel_wins_over_patterns(spark):
     subs = table(spark, [(1, "channel", "a.b"), (1, "pattern", "a.*"), (2, "pattern", "a.?"), (2, "pattern", "*"), (3, "pattern", "[a].b")], "conn int, kind string, topic string")
     got = sorted(tuple(r) for r in pubsub.route(table(spark, [(1, "a.b"), (2, "axb")], "msg int, channel string"), subs).collect())
@@ -174,22 +237,116 @@ def _log(spark, rows):
     return table(spark, [(i, conn, 0, argv.split()) for i, (conn, argv) in enumerate(rows)], "seq long, conn long, db int, argv array<string>").withColumn("ts", F.lit(None).cast("timestamp"))
 
 
-def test_folds_agree_with_replay(spark):
-    rng = random.Random(7)
-    rows = [(0, rng.choice(["SET k{} {n}", "INCR k{}", "INCRBY k{} {n}", "DECR k{}", "DECRBY k{} {n}", "DEL k{}"]).format(rng.randrange(5), n=rng.randrange(-9, 9))) for _ in range(400)]
-    state = {}
-    for _, text in rows:
-        name, key, *args = text.split()
-        fold.apply_command(state, name, key, args)
-    assert {r.key: r.value for r in fold.counters(_log(spark, rows)).collect()} == {k: int(v) for k, v in state.items()}
-    replies = fold.replay(_log(spark, rows)).orderBy("seq").collect()
-    assert len(replies) == len(rows) and all(r.error is None for r in replies)
+class Store:
+    """The same commands one after the other, on dictionaries by database."""
+
+    def __init__(self):
+        self.data, self.limit = {}, {}
+
+    def run(self, db, now, name, *args):
+        """The reply; an error is its name."""
+        data, limit = self.data.setdefault(db, {}), self.limit.setdefault(db, {})
+        key = args[0] if args else None
+        whole = lambda text: int(text) if re.fullmatch(r"[+-]?[0-9]+", text) else None
+        if name in ("INCR", "DECR", "INCRBY", "DECRBY"):
+            old, step = whole(data.get(key, "0")), whole(args[1]) if name.endswith("BY") else 1
+            if old is None or step is None:
+                return "not_integer"
+            data[key] = str(old + (step if name.startswith("INCR") else -step))
+            return int(data[key])
+        if name in ("SET", "GETSET"):
+            data[key] = args[1]
+            limit.pop(key, None)
+        if name in ("SETEX", "PSETEX"):
+            data[key], limit[key] = args[2], now + int(args[1]) * (1000 if name == "SETEX" else 1)
+        if name == "MSET":
+            data.update(zip(args[::2], args[1::2], strict=True))
+        if name == "SETNX":
+            data.setdefault(key, args[1])
+        if name == "APPEND":
+            data[key] = data.get(key, "") + args[1]
+        if name == "DEL":
+            for k in args:
+                data.pop(k, None), limit.pop(k, None)
+        if name == "EXPIRE":
+            limit[key] = now + int(args[1]) * 1000
+        if name == "PERSIST":
+            limit.pop(key, None)
+        if name == "RENAME" and key in data:
+            data[args[1]] = data.pop(key)
+        if name in ("HSET", "HMSET"):
+            data.setdefault(key, {}).update(zip(args[1::2], args[2::2], strict=True))
+        if name == "HDEL":
+            for f in args[1:]:
+                data.get(key, {}).pop(f, None)
+        if name == "HINCRBY":
+            row = data.setdefault(key, {})
+            row[args[1]] = str(int(row.get(args[1], "0")) + int(args[2]))
+        if name == "FLUSHDB":
+            data.clear(), limit.clear()
+        if name == "FLUSHALL":
+            for d in [*self.data.values(), *self.limit.values()]:
+                d.clear()
+        return None
+
+
+def _mixed(spark, rng, forms, n=400):
+    """(log, store after it): commands of three keys, other keys, numbers and texts in two databases."""
+    rows, store = [], Store()
+    for seq in range(n):
+        form = rng.choice(forms) if rng.random() > 0.02 else rng.choice(["FLUSHDB", "FLUSHALL"]) if rng.random() < 0.3 else forms[0]
+        text = form.format(*rng.sample("abcde", 3), n=rng.randrange(-9, 9), s=rng.randrange(1, 99))
+        db = rng.randrange(2)
+        name, *args = text.split()
+        if name == "RENAME" and args[0] not in store.data.get(db, {}):
+            continue  # logs hold what took effect
+        store.run(db, 1000 * seq, name, *args)
+        rows.append((seq, 0, db, text.lower().split()[:1] + args, seq))
+    log = table(spark, rows, "seq long, conn long, db int, argv array<string>, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    return log, store
 
 
-def test_wrong_types_in_replay(spark):
-    log = _log(spark, [(0, "SET a x"), (0, "LPUSH a 1"), (0, "INCR a"), (0, "HSET h f 1 g 2 f 3"), (0, "GET h"), (0, "LPUSH l 1 2"), (0, "RPOP l"), (0, "SADD s 1 1 2"), (0, "SREM s 1 2"), (0, "SETNX s v"), (0, "APPEND s w")])
-    got = [(r.reply, r.error) for r in fold.replay(log).orderBy("seq").collect()]
-    assert got == [("OK", None), (None, "WRONGTYPE"), (None, "not_integer"), ("2", None), (None, "WRONGTYPE"), ("2", None), ("1", None), ("2", None), ("2", None), ("1", None), ("2", None)]
+def test_folds_of_counters(spark):
+    rng = random.Random(7)
+    log, store = _mixed(spark, rng, ["SET {0} {n}", "INCR {0}", "INCRBY {0} {n}", "DECR {0}", "DECRBY {0} {n}", "DEL {0}", "DEL {0} {1}", "GETSET {0} {n}", "SETEX {0} 5 {n}"])
+    want = {(db, k): int(v) for db, d in store.data.items() for k, v in d.items()}
+    assert {(r.db, r.key): r.value for r in fold.counters(log).collect()} == want
+    odd = _log(spark, [(0, "SET a x"), (0, "INCR a"), (0, "SET b 9223372036854775807"), (0, "INCR b"), (0, "INCRBY c z"), (0, "SET d 5"), (0, "DECR d"), (0, "DEL b c x y z")][:7])
+    assert {r.key: (r.value, r.error) for r in fold.counters(odd).collect()} == {"a": (None, "not_integer"), "b": (None, "overflow"), "c": (None, "not_integer"), "d": (4, None)}
+    last = {}
+    for r in fold.replies(log.where("upper(argv[0]) not in ('SETEX', 'FLUSHDB', 'FLUSHALL') and size(argv) < 4 and not (argv[0] = 'del' and size(argv) > 2)")).collect():
+        last[r.seq] = r.reply
+    again = Store()
+    for r in log.where("upper(argv[0]) not in ('SETEX', 'FLUSHDB', 'FLUSHALL') and size(argv) < 4 and not (argv[0] = 'del' and size(argv) > 2)").orderBy("seq").collect():
+        again.run(r.db, 0, r.argv[0].upper(), *r.argv[1:])
+        value = again.data[r.db].get(r.argv[1])
+        assert last[r.seq] == (None if value is None else int(value))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_folds_of_strings(spark, seed):
+    rng = random.Random(seed)
+    log, store = _mixed(spark, rng, ["SET {0} {s}", "APPEND {0} {s}", "APPEND {0} x", "SETNX {0} {s}", "SETNX {1} y", "DEL {0}", "DEL {0} {1} {2}", "GETSET {0} {s}", "SETEX {0} 5 {s}", "MSET {0} p {1} q", "RENAME {0} {1}", "RENAME {2} {1}"], 250)
+    want = {(db, k): v for db, d in store.data.items() for k, v in d.items()}
+    assert {(r.db, r.key): r.value for r in fold.last_values(log).collect()} == want
+
+
+def test_folds_of_hashes_and_limits(spark):
+    rng = random.Random(4)
+    log, store = _mixed(spark, rng, ["HSET {0} f {n} g {s}", "HSET {0} h {n} h {s}", "HINCRBY {0} f {n}", "HINCRBY {0} k {n}", "HDEL {0} f g", "HDEL {0} k", "DEL {0} {1}"])
+    want = {(db, k, f): v for db, d in store.data.items() for k, row in d.items() for f, v in row.items()}
+    assert {(r.db, r.key, r.field): r.value for r in fold.hashes(log).collect()} == want
+    odd = _log(spark, [(0, "HSET a f x"), (0, "HINCRBY a f 1"), (0, "HINCRBY a g 9223372036854775807"), (0, "HINCRBY a g 1")])
+    assert {r.field: (r.value, r.error) for r in fold.hash_counters(odd).collect()} == {"f": (None, "not_integer"), "g": (None, "overflow")}
+    log, store = _mixed(spark, rng, ["SET {0} 1", "EXPIRE {0} {s}", "SETEX {0} {s} v", "PSETEX {0} {s} v", "PERSIST {0}", "DEL {0} {1}", "GETSET {0} v"])
+    want = {(db, k): ms for db, d in store.limit.items() for k, ms in d.items()}
+    assert {(r.db, r.key): int(r.expires_at.timestamp() * 1000 + 0.5) for r in fold.limits(log).collect()} == want
+
+
+def test_long_commands_are_whole(spark):
+    log = _log(spark, [(0, "DEL " + " ".join(f"k{i}" for i in range(3000))), (0, "PING")])
+    assert fold.commands(log).select(F.size("args")).orderBy("seq").first()[0] == 2999
+    assert fold.commands(log).select(F.size(fold.written_keys()).alias("n"), "seq").orderBy("seq").collect()[0].n == 3000
 
 
 def _outcomes(rows):
@@ -201,13 +358,12 @@ def _outcomes(rows):
             queue = open_.pop(conn)
             out[seq] = any(version.get(k, -1) > at for k, at in watch.pop(conn, {}).items())
             if not out[seq]:
-                for n, k in queue:
-                    if n == "SET":
-                        version[k] = seq
+                for n, ks in queue:
+                    version.update(dict.fromkeys(_written(n, ks), seq))
         elif name == "DISCARD" and conn in open_:
             open_.pop(conn), watch.pop(conn, None)
         elif conn in open_:
-            open_[conn].append((name, args[0] if args else None))
+            open_[conn].append((name, args))
         elif name == "MULTI":
             open_[conn] = []
         elif name == "WATCH":
@@ -215,20 +371,39 @@ def _outcomes(rows):
                 watch.setdefault(conn, {}).setdefault(k, seq)
         elif name == "UNWATCH":
             watch.pop(conn, None)
-        elif name == "SET":
-            version[args[0]] = seq
-        elif name == "FLUSHDB":
-            version.update(dict.fromkeys("abcd", seq))
+        else:
+            version.update(dict.fromkeys(_written(name, args), seq))
     return out
 
 
+def _written(name, args):
+    if name in ("FLUSHDB", "FLUSHALL"):
+        return "abcd"
+    if name in ("SET", "SETEX", "LPOP", "ZREMRANGEBYRANK", "XADD"):
+        return args[:1]
+    return {"DEL": args, "MSET": args[::2], "RENAME": args[:2], "BLPOP": args[:-1]}.get(name, [])
+
+
 def test_transactions_against_a_run(spark):
     rng = random.Random(5)
     rows = []
-    for _ in range(900):
-        rows.append((rng.randrange(4), rng.choice(["WATCH {}", "WATCH {} {}", "MULTI", "MULTI", "SET {} 1", "SET {} 1", "GET {}", "EXEC", "EXEC", "DISCARD", "UNWATCH", "FLUSHDB" if rng.random() < 0.1 else "GET {}"]).format(rng.choice("abcd"), rng.choice("abcd"))))
+    forms = ["WATCH {}", "WATCH {} {}", "MULTI", "MULTI", "SET {} 1", "SETEX {} 1 1", "DEL {} {}", "MSET {} 1 {} 2", "RENAME {} {}", "BLPOP {} {}", "LPOP {}", "GET {}", "GET {}", "GET {}", "GET {}", "EXEC", "EXEC", "EXEC", "DISCARD", "UNWATCH"]
+    for i in range(900):
+        forms[-1] = ("FLUSHDB" if i % 2 else "FLUSHALL") if rng.random() < 0.1 else "UNWATCH"
+        rows.append((rng.randrange(4), rng.choice(forms).format(rng.choice("abcd"), rng.choice("abcd"))))
     got = {r.exec_seq: r.aborted for r in transactions.outcomes(_log(spark, rows)).collect()}
     assert got == _outcomes(rows) and 5 < sum(got.values()) < len(got)
+    sessions, broken, edges = transactions.conflicts(_log(spark, rows), period=7)
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, transactions.conflicts(_log(spark, rows))[2].collect()))
+
+
+@pytest.mark.parametrize("write", ["SETEX a 1 v", "DEL x a", "RENAME x a", "RENAME a x", "MSET x 1 a 2", "FLUSHDB", "FLUSHALL", "LTRIM a 0 1", "XADD a * f v", "SPOP a", "EXPIRE a 1"])
+def test_a_watch_sees_every_write(spark, write):
+    rows = [(1, "WATCH a"), (2, write), (1, "MULTI"), (1, "GET a"), (1, "EXEC"), (3, "WATCH b"), (3, "MULTI"), (3, "EXEC")]
+    got = {r.exec_seq: r.aborted for r in transactions.outcomes(_log(spark, rows)).collect()}
+    assert got == {4: True, 7: False}
+    queued = [(1, "WATCH a"), (2, "MULTI"), (2, write), (2, "EXEC"), (1, "MULTI"), (1, "EXEC")]
+    assert {r.exec_seq: r.aborted for r in transactions.outcomes(_log(spark, queued)).collect()} == {3: False, 5: True}
 
 
 def test_procedures(spark):
@@ -254,6 +429,41 @@ def test_command_files(spark):
             list(command_log.decode(io.BytesIO(bad)))
 
 
+def test_appended_and_overwritten_logs(spark, tmp_path):
+    spark.dataSource.register(command_log.CommandLog)
+    path = f"file://{tmp_path}/log"
+    rows = lambda *names: table(spark, [("", 0, [n, "k"]) for n in names], "file string, pos long, argv array<string>").repartition(2)
+    read = lambda: [r.argv[0] for r in spark.read.format("command_log").load(path).orderBy("pos").collect()]
+    for names in (["A", "B"], ["C"], ["D"]):
+        rows(*names).write.format("command_log").mode("append").save(path)
+    assert sorted(read()[:2]) == ["A", "B"] and read()[2:] == ["C", "D"]
+    rows("E").write.format("command_log").mode("overwrite").save(path)
+    rows("F").write.format("command_log").mode("append").save(path)
+    assert read() == ["E", "F"]
+    (tmp_path / "plain").mkdir()
+    for name, word in (("b", "SECOND"), ("a", "FIRST")):
+        (tmp_path / "plain" / name).write_bytes(command_log.encode([word]))
+    path = f"file://{tmp_path}/plain"
+    assert read() == ["FIRST", "SECOND"]
+    rows("THIRD").write.format("command_log").mode("append").save(path)
+    assert read() == ["FIRST", "SECOND", "THIRD"]
+
+
+def test_a_save_that_breaks_off_is_not_seen(spark, tmp_path):
+    keys = table(spark, [(0, "a")], "db int, key string").withColumn("expires_at", F.lit(None).cast("timestamp"))
+    values = lambda v: table(spark, [(0, "a", v)], "db int, key string, value string")
+    now, path = F.lit("2024-01-01").cast("timestamp"), f"file://{tmp_path}/s"
+    with pytest.raises(ValueError):
+        snapshot.load(spark, path, now)
+    snapshot.save(path, {"strings": values("1")}, keys, now)
+    with pytest.raises(Exception):
+        snapshot.save(path, {"strings": values("2"), "broken": values("3").select(F.raise_error(F.lit("lost")).alias("x"))}, keys, now)
+    assert [r.value for r in snapshot.load(spark, path, now)["strings"].collect()] == ["1"]
+    snapshot.save(path, {"strings": values("4")}, keys, now + F.expr("interval 1 day"))
+    assert [r.value for r in snapshot.load(spark, path, now)["strings"].collect()] == ["4"]
+    assert str(snapshot.last_save(spark, path).first()[0]) == "2024-01-02 00:00:00"
+
+
 def test_snapshot_needs_its_manifest(spark, tmp_path):
     keys = table(spark, [(0, "a", None), (0, "b", "2023-01-01")], "db int, key string, t string").withColumn("expires_at", F.col("t").cast("timestamp")).drop("t")
     values = table(spark, [(0, "a", "1"), (0, "b", "2")], "db int, key string, value string")
