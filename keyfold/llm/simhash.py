@@ -33,9 +33,9 @@ supply candidates without loss, the pivot table discards, the exact check decide
    pairs within the widest distance that a similarity of 0.8 makes likely (four standard
    deviations) a bucket gives out a minimum spanning forest: the nearest links that join
    what all its pairs join.
-3. Links so near that a similarity below 0.8 is out of question (three standard
-   deviations) hold; the others are verified by their shingle sets, where their ends
-   aren't joined yet.
+3. Links so near in all lanes that a similarity below 0.8 is out of question (three
+   standard deviations) hold. The others are verified by their shingle sets, the nearest
+   of each component first, until no link between two components is open.
 
 Defined results: null or empty texts have fingerprint 0 and link like any other; rows
 that share an id are one document if their texts are equal, else each row counts with
@@ -52,7 +52,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyfold.llm import common as C
@@ -317,9 +317,9 @@ def bucket_values(fps: np.ndarray) -> np.ndarray:
     return values.astype(np.int64) + (np.arange(values.shape[1], dtype=np.int64) << VALUE)
 
 
-def distances(similarity: float, carried: int = CARRIED) -> tuple[int, int]:
-    """(sure, far): how many of the carried bits a pair of this similarity hardly falls below, and hardly exceeds."""
-    bits = 64 * carried
+def distances(similarity: float, lanes: int) -> tuple[int, int]:
+    """(sure, far): how many bits of some lanes a pair of this similarity hardly falls below, and hardly exceeds."""
+    bits = 64 * lanes
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     spread = np.sqrt(bits * p * (1 - p))
     return int(bits * p - 3 * spread), int(np.ceil(bits * p + 4 * spread))
@@ -462,7 +462,6 @@ def in_parts(key, cuts):
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, digest, component long) of every row: digest is xxhash64 of the text; rows of one component are near copies of each other."""
-    sure, far = distances(similarity)
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("digest"))
     id_type = own.schema["id"].dataType.simpleString()
 
@@ -475,14 +474,41 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = own.mapInArrow(mark, f"id {id_type}, digest long, lanes array<long>, values array<long>")
     marks = C.saved(marks.select("id", "digest", F.xxhash64("lanes").alias("node"), "lanes", "values"), "marks")
     nodes = C.saved(marks.groupBy("node").agg(F.first("lanes").alias("lanes"), F.first("values").alias("values")), "nodes")
-    found = C.saved(value_links(nodes, far), "links")
-    sure_links = found.where(F.col("d") <= sure).select("a", "b")
-    labels = C.saved(components(sure_links), "sure")
-    open_links = found.where(F.col("d") > sure)
+    found = value_links(nodes, distances(similarity, CARRIED)[1])
+    # by all lanes a pair's similarity shows more sharply than by those in the bucket
     for end in ("a", "b"):
-        open_links = open_links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
-    open_links = C.saved(open_links.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "open-links")
-    ends = open_links.select(F.col("a").alias("node")).union(open_links.select(F.col("b").alias("node"))).distinct()
+        found = found.join(nodes.select(F.col("node").alias(end), F.col("lanes").alias(f"lanes_{end}")), end)
+    apart = F.aggregate(F.zip_with("lanes_a", "lanes_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sure, far = distances(similarity, LANES)
+    found = C.saved(found.select("a", "b", apart.alias("d")).where(F.col("d") <= far), "links")
+    accepted = found.where(F.col("d") <= sure).select("a", "b")
+    labels = C.saved(components(accepted), "joined")
+    still_open = C.saved(_between(found.where(F.col("d") > sure), labels), "open-links")
+    shingles = _shingles_of(own, marks, still_open, words)
+    most = 1
+    while not still_open.isEmpty():
+        # the nearest links of each component first: what they join needs no further look
+        ends = still_open.select("a", "b", "d", F.explode(F.array("of_a", "of_b")).alias("component"))
+        nearest = F.row_number().over(Window.partitionBy("component").orderBy("d", "a", "b"))
+        chosen = C.saved(ends.withColumn("nth", nearest).where(F.col("nth") <= most).select("a", "b").distinct(), "chosen-links")
+        accepted = accepted.unionByName(C.saved(_similar(chosen, shingles, similarity), "verified"))
+        labels = C.saved(components(accepted), "joined")
+        still_open = C.saved(_between(still_open.select("a", "b", "d").join(chosen, ["a", "b"], "left_anti"), labels), "open-links")
+        most *= 4
+    return marks.select("id", "digest", "node").join(labels, "node", "left").select(F.col("id").alias(id_col), "digest", F.coalesce("label", "node").alias("component"))
+
+
+def _between(links_: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links (a, b, d) whose ends are in different components, with of_a and of_b."""
+    for end in ("a", "b"):
+        links_ = links_.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
+    links_ = links_.select("a", "b", "d", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+    return links_.where("of_a != of_b")
+
+
+def _shingles_of(own: DataFrame, marks: DataFrame, some: DataFrame, words: int) -> DataFrame:
+    """(node, shingles array) of the nodes at the ends of links. own: (id, text, digest), marks: (id, digest, node)."""
+    ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = marks.join(ends, "node").groupBy("node").agg(F.min(F.struct("id", "digest")).alias("w"))
     wanted = C.saved(wanted.select("node", F.col("w.id").alias("w_id"), F.col("w.digest").alias("w_digest")), "open-texts")
 
@@ -493,14 +519,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([piece.column("node"), lists], ["node", "shingles"])
 
     texts = own.join(wanted, own["id"].eqNullSafe(wanted["w_id"]) & (own["digest"] == wanted["w_digest"])).select("node", "text")
-    shingles = C.saved(texts.mapInArrow(sets, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    side = lambda end: shingles.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}"))
-    both = open_links.join(side("a"), "a").join(side("b"), "b")
+    # rows that repeat id and text give the set again
+    return C.saved(texts.mapInArrow(sets, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+
+
+def _similar(some: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets have the Jaccard similarity."""
+    wanted = shingles.join(C.saved(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"), "node", "left_semi")
+    side = lambda end: wanted.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}"))
+    both = some.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    verified = both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b")
-    # sure components are kept as they are; verified links join them
-    joined = components(C.saved(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(verified), "all-links"))
-    return marks.select("id", "digest", "node").join(joined, "node", "left").select(F.col("id").alias(id_col), "digest", F.coalesce("label", "node").alias("component"))
+    return both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -138,7 +138,7 @@ def test_near_copies_in_hot_buckets(spark):
     marks = pa.array(texts)
     fps = simhash.long_fingerprints(marks, 5)
     nodes = spark.createDataFrame([(i, list(map(int, f.view(np.int64))), list(map(int, v))) for i, (f, v) in enumerate(zip(fps, simhash.bucket_values(fps), strict=True))], "node long, lanes array<long>, values array<long>")
-    far = simhash.distances(0.8)[1]
+    far = simhash.distances(0.8, simhash.CARRIED)[1]
     want = simhash.components(simhash.value_links(nodes, far)).collect()
     for rows in (11, 150):
         assert sorted(simhash.components(simhash.value_links(nodes, far, bucket_rows=rows)).collect()) == sorted(want)
