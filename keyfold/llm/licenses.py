@@ -12,20 +12,29 @@ exact copy (0.25) one minus 1e-8. Windows that share a band are checked exactly:
 share of the template's distinct shingles that the window has must reach `containment`.
 
 Block minima of a width come from those of half the width, so all classes together
-cost two passes per band. A map over rows: no shuffle. The templates are a fixed list
-given by the caller, checked to be at most `MOST_BYTES`.
+cost two passes per band. A map over rows: no shuffle. The templates come from the
+caller, as a dictionary or a table, checked to be at most `MOST_BYTES`; the default has
+notices of common licenses and the whole texts in the folder `templates`.
+
+Of templates that have half of their shingles in common (headers that differ in the
+license's name), only those with the greatest containment in a text are reported.
+
+A copy is found if at most the double width of its template holds it: a template with so
+many words put in between that the run outgrows its window is missed.
 
 Defined results: null, empty and short texts match nothing; repeated rows are scanned
-one by one; a template of fewer than five words is refused.
+one by one; a template of fewer than five words is refused, as are null ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keyfold.llm import common as C
 from keyfold.llm.decontaminate import Words
@@ -43,22 +52,47 @@ TEMPLATES: dict[str, str] = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     ),
+    "0BSD/1": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+    ),
+    "AGPL-3.0/1": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version"
+    ),
     "BSD-2-Clause/1": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
     "BSD-3-Clause/1": (
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
     ),
+    "BSL-1.0/1": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") "
+        "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"
+    ),
     "CC-BY-4.0/1": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-4.0/2": "Licensed under CC BY 4.0",
     "CC-BY-NC-4.0/1": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0/1": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "EPL-2.0/1": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "GPL-2.0/1": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
+        "either version 2 of the License, or (at your option) any later version"
+    ),
     "GPL-3.0/1": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0/2": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
         "either version 3 of the License, or (at your option) any later version"
     ),
     "ISC/1": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "LGPL-2.1/1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version"
+    ),
+    "LGPL-3.0/1": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version"
+    ),
     "MIT/1": "Released under the MIT License",
     "MIT/2": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
@@ -67,9 +101,27 @@ TEMPLATES: dict[str, str] = {
     ),
     "MPL-2.0/1": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Unlicense/1": "This is free and unencumbered software released into the public domain",
+    "Zlib/1": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"
+    ),
 }
 
 
+def whole_texts(folder: Path = Path(__file__).parent / "templates") -> dict[str, str]:
+    """Name/text to text, of the license texts in a folder of the driver."""
+    return {f"{f.stem}/text": f.read_text(encoding="utf-8") for f in sorted(folder.glob("*.txt"))}
+
+
+def templates_of(table: DataFrame, name_col: str = "name", text_col: str = "text") -> dict[str, str]:
+    """The templates of a table (names as License/anything), of which there may be MOST_BYTES."""
+    rows = table.select(table[name_col].cast("string").alias("name"), table[text_col].alias("text")).dropna().distinct()
+    size = rows.agg(F.sum(F.octet_length("text") + F.octet_length("name"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of templates; {MOST_BYTES} are allowed")
+    return {r["name"]: r["text"] for r in rows.orderBy("name", "text").collect()}
+
+
 def _shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all shingles, bounds of the rows)."""
     grams = words.grams(SHINGLE)
@@ -98,6 +150,9 @@ class Templates:
             if not len(shingles):
                 raise ValueError(f"{name} has fewer than {SHINGLE} words")
             self.classes.setdefault(1 << (len(shingles) - 1).bit_length(), []).append((name, np.unique(shingles)))
+        sets = {name: s for members in self.classes.values() for name, s in members}
+        near = lambda a, b: 2 * len(np.intersect1d(a, b)) >= max(len(a), len(b))
+        self.twins = {a: [b for b in sets if a != b and near(sets[a], sets[b])] for a in sets}
         self.bands, self.maps = {}, {}
         for width, members in self.classes.items():
             values = np.array([[(s * f).min() for _, s in members] for f in self.factors])
@@ -139,12 +194,16 @@ class Templates:
                 share = float(np.isin(wanted, shingles[start : min(start + 2 * width, int(bounds[row + 1]))]).mean())
                 if share >= containment:
                     found[row][name] = max(share, found[row].get(name, 0.0))
-        return [sorted(f.items()) for f in found]
+        best = lambda f, name: all(f.get(twin, 0.0) <= f[name] for twin in self.twins[name])
+        return [sorted((n, s) for n, s in f.items() if best(f, n)) for f in found]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | DataFrame | None = None, containment: float = 0.8) -> DataFrame:
     """One row per document: matches (templates found, with their containment) and licenses (their names before the slash)."""
-    templates = TEMPLATES if templates is None else templates
+    if templates is None:
+        templates = TEMPLATES | whole_texts()
+    elif isinstance(templates, DataFrame):
+        templates = templates_of(templates)
     Templates(templates)  # tells of bad templates before the job runs
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
