@@ -22,10 +22,13 @@ PIECE_BYTES = 2 << 20
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is absent, as in tests, a temporary folder is set for the session.
+    Where the setting is absent on one machine, as in tests, a temporary folder is set for
+    the session; a cluster needs a shared one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="keyfold-")
         spark.conf.set("spark.checkpoint.dir", root)
     app = spark.sparkContext.applicationId

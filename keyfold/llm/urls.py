@@ -12,7 +12,7 @@
 A pattern is a host name, and covers the host itself and all hosts below it.
 
 Defined results: a capture with a null URL, host or fetch time matches nothing and is
-kept; repeated captures give one row each; of changes to the same (list, pattern) at
+kept; one with a null id is evaluated like any other; repeated captures give one row each; of changes to the same (list, pattern) at
 one time a remove holds; a second add goes on with the interval; changes with a null
 in any column are ignored; without an end an interval is open.
 """
@@ -60,7 +60,7 @@ def evaluate(captures: DataFrame, changes: DataFrame, id_col: str = "page_id", u
     hits = looked.join(valid, ["pattern", "period"]).where("added <= fetched and (until is null or fetched < until)")
     active = hits.groupBy("id", "host", "fetched").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.array_sort(F.collect_set("pattern")).alias("patterns"))
     active = active.select(F.col("id").alias("__id"), F.col("host").alias("__host"), F.col("fetched").alias("__fetched"), "lists", "patterns")
-    whole = rows.join(active, (F.col("id") == F.col("__id")) & (F.col("host") == F.col("__host")) & (F.col("fetched") == F.col("__fetched")), "left")
+    whole = rows.join(active, F.col("id").eqNullSafe(F.col("__id")) & (F.col("host") == F.col("__host")) & (F.col("fetched") == F.col("__fetched")), "left")
     none = F.expr("cast(array() as array<string>)")
     return whole.withColumn("copy", F.explode(F.expr("array_repeat(1, cast(copies as int))"))).select(
         F.col("id").alias(id_col), "host", F.col("fetched").alias(time_col), F.coalesce("lists", none).alias("lists"), F.coalesce("patterns", none).alias("patterns"), F.col("lists").isNotNull().alias("blocked")
