@@ -28,20 +28,20 @@ def _ran(t: Tables, stream: DataFrame, mode: str = "append", each: Callable[[Dat
     return t.spark.read.parquet(f"{path}/rows")
 
 
-def _newest(rows: DataFrame) -> DataFrame:
-    last = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(last), "batch")
-
-
 @query("SELECT event_type, epoch_us(ts) // 3600000000 * 3600 AS hour, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_windows(t: Tables) -> DataFrame:
-    rows = _newest(_ran(t, jobs.event_windows(_events(t)), "complete"))
+    """Each batch writes the windows that it changed, and windows behind the watermark leave the state; of a window the newest batch holds."""
+    rows = _ran(t, jobs.event_windows(_events(t)), "update").groupBy("event_type", "start").agg(F.max_by("n", "batch").alias("n"))
     return rows.select("event_type", F.unix_seconds("start").alias("hour"), "n")
 
 
 @query("WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s) SELECT user_id, min(epoch_us(ts)) AS start, count(*) AS n FROM n GROUP BY user_id, k")
 def streaming_sessions(t: Tables) -> DataFrame:
-    rows = _newest(_ran(t, jobs.sessions(_events(t), "6 hours"), "complete"))
+    """Sessions are written once the watermark has passed them; an event of the end, a year later, closes those still open."""
+    path = fresh_path(t.spark, "stream")
+    end = t.events.agg((F.max("ts") + F.expr("interval 1 year")).alias("ts"))
+    jobs.run_to_the_end(lambda events: jobs.sessions(events, "6 hours"), _events(t), end, ["user_id", "ts"], path)
+    rows = t.spark.read.parquet(f"{path}/rows").where("user_id is not null")
     return rows.select("user_id", F.unix_micros("start").alias("start"), "n")
 
 

@@ -93,7 +93,7 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     """Process what the source holds, in micro-batches, and write the rows, or what `each` makes of them, to Parquet.
 
     A batch is written under its own number and overwrites what an earlier attempt left,
-    so each batch counts once. In complete and update mode read the newest by `batch`.
+    so each batch counts once. In update mode the newest row of a key, by `batch`, holds.
     """
 
     def put(batch: DataFrame, number: int) -> None:
@@ -105,6 +105,24 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
         raise query.exception()
 
 
+def run_to_the_end(job: Callable[[DataFrame], DataFrame], events: DataFrame, end: DataFrame, columns: list[str], path: str) -> None:
+    """An append-mode job over a stream that ends: what the watermark still holds back is closed by the row `end`.
+
+    The stream and a folder of its own for `end` are one source. The job first runs to the
+    end of the stream, then `end` arrives, whose other columns are null, and the job goes
+    on from its checkpoint. Rows are in `path`/rows, those of `end` among them if it closes.
+    """
+    spark = events.sparkSession
+    events = events.select(*columns)
+    marks = spark.createDataFrame([], events.schema)
+    marks.write.parquet(f"{path}/end")
+    for last in (False, True):
+        if last:
+            end.select(*(F.col(c) if c in end.columns else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in columns)).write.mode("append").parquet(f"{path}/end")
+        both = events.unionByName(spark.readStream.schema(marks.schema).parquet(f"{path}/end"))
+        run_available(job(both), f"{path}/rows", f"{path}/checkpoint")
+
+
 def as_stream(df_dir: str, static: DataFrame) -> DataFrame:
     """The files of a table as a stream, with the table's schema."""
     return static.sparkSession.readStream.schema(static.schema).option("maxFilesPerTrigger", 64).parquet(df_dir)
