@@ -14,8 +14,9 @@
    that band is looked at, pairs with a larger difference in any coordinate are
    discarded, and survivors are verified bit by bit. A bucket gives out a spanning
    forest of its links, not its pairs.
-5. Buckets above `bucket_rows` are cut into blocks of rows whose pairs are shared out
-   over tasks, so a hot bucket is neither one task nor capped.
+5. Buckets above `bucket_rows` are cut by blocks of the bits that are left, likewise
+   without loss. What is hot even so has 35 bits in common; its rows are cut into parts
+   whose pairs are shared out over tasks, so it is neither one task nor capped.
 6. Components: labels spread to neighbours and are jumped through until nothing
    changes; each round is written to the shared folder.
 
@@ -121,11 +122,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # ---------------------------------------------------------------- candidates and links
 
 
-def block_masks(blocks: int, distance: int) -> list[int]:
-    """Bits of each choice of the `blocks - distance` bit blocks that linked fingerprints share for sure."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
-    return [sum(masks[i] for i in pick) for pick in combinations(range(blocks), blocks - distance)]
+def block_masks(blocks: int, distance: int, shared: int = 0) -> list[int]:
+    """Bits of each choice of the `blocks - distance` blocks of the bits beside `shared` that linked fingerprints have in common for sure."""
+    left = [1 << i for i in range(64) if not shared >> i & 1]
+    edges = [len(left) * i // blocks for i in range(blocks + 1)]
+    masks = [sum(left[edges[i] : edges[i + 1]]) for i in range(blocks)]
+    return [shared + sum(pick) for pick in combinations(masks, blocks - distance)]
 
 
 def pivot_codes() -> np.ndarray:
@@ -227,12 +229,21 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[
 def links(distinct: DataFrame, distance: int = 4, blocks: int = 6, bucket_rows: int = 20_000) -> DataFrame:
     """(a, b): links that join the same fingerprints as all pairs within `distance` do. distinct: (fp)."""
     masks = block_masks(blocks, distance)
-    rows = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks))).alias("choice", "bits"))
-    rows = rows.select("fp", F.xxhash64("choice", "bits").alias("bucket"))
-    hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
-    hot = C.saved(hot.select("bucket", F.ceil(F.col("n") / bucket_rows).cast("int").alias("cuts")), "hot-buckets")
-    rows = rows.join(hot, "bucket", "left")
-    rows = rows.select("fp", "bucket", F.inline(in_parts(F.col("fp"), F.col("cuts"))))
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    fp = F.col("fp")
+    rows = distinct.select("fp", F.posexplode(F.array(*(fp.bitwiseAND(signed(m)) for m in masks))).alias("choice", "bits"))
+    rows = rows.select("fp", "choice", F.xxhash64("choice", "bits").alias("bucket"))
+    crowded = lambda some: some.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
+    hot = C.saved(crowded(rows).select("bucket"), "hot-buckets")
+    # a hot bucket is cut by blocks of the bits that its choice leaves, just as all were cut by blocks
+    finer = F.array(*(F.array(*(signed(x) for x in block_masks(blocks, distance, m))) for m in masks))
+    fine = rows.join(hot, "bucket", "left_semi").select("fp", "choice", F.posexplode(F.transform(F.get(finer, F.col("choice")), lambda m: fp.bitwiseAND(m))).alias("finer", "bits"))
+    fine = fine.select("fp", F.xxhash64("choice", "finer", "bits").alias("bucket"))
+    # what still is hot lies close together, so it has a bound; it is dealt into parts
+    hotter = C.saved(crowded(fine).select("bucket", F.ceil(F.col("n") / bucket_rows).cast("int").alias("cuts")), "hotter-buckets")
+    cold = rows.join(hot, "bucket", "left_anti").select("fp", "bucket", F.lit(None).cast("int").alias("cuts"))
+    rows = cold.unionByName(fine.join(hotter, "bucket", "left"))
+    rows = rows.select("fp", "bucket", F.inline(in_parts(fp, F.col("cuts"))))
     rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     return rows.select("bucket", "part", "fp", "side").mapInArrow(lambda b: _bucket_links(b, distance), "a long, b long").distinct()
 
