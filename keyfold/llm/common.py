@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PIECE_BYTES = 2 << 20
 
@@ -52,6 +53,42 @@ def new_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_hash(id_: Column, digest: Column) -> Column:
+    return F.xxhash64(id_, digest)
+
+
+def may_hold(hashes: DataFrame, bits: int = 1 << 24) -> Callable[[Column], Column]:
+    """Whether a hash may be among those of (h): a bitmap of fixed size, given to tasks as one value.
+
+    No for sure, or maybe: so of a large table only the rows in question go into a join.
+    """
+    at = F.col("h").bitwiseAND(bits - 1)
+    words = hashes.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("flag")).groupBy("word").agg(F.bit_or("flag").alias("flags")).toPandas()
+    flags = np.zeros(bits // 64, np.int64)
+    flags[words["word"].to_numpy(np.int64)] = words["flags"].to_numpy(np.int64)
+    table = saved(hashes.sparkSession.createDataFrame(pa.table({"flags": pa.array([flags], pa.list_(pa.int64()))}), "flags array<long>"), "bitmap")
+
+    def test(h: Column) -> Column:
+        word = F.get(table.select("flags").scalar(), F.shiftright(h.bitwiseAND(bits - 1), 6).cast("int"))
+        return F.bit_get(word, h.bitwiseAND(63).cast("int")) == 1
+
+    return test
+
+
+def rows_of(docs: DataFrame, some: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(docs without, docs with) the id and text of some (id, digest), where digest is xxhash64 of the text and nulls are equal.
+
+    Only rows that may be meant are joined, so texts of others aren't shuffled.
+    """
+    some_id, some_digest = new_names(docs, "some_id", "some_digest")
+    digest = F.xxhash64(docs[text_col])
+    maybe = F.coalesce(may_hold(some.select(row_hash(F.col("id"), F.col("digest")).alias("h")))(row_hash(docs[id_col], digest)), F.lit(False))
+    some = some.select(F.col("id").alias(some_id), F.col("digest").alias(some_digest))
+    same = docs[id_col].eqNullSafe(F.col(some_id)) & (digest == F.col(some_digest))
+    asked = docs.where(maybe)
+    return docs.where(~maybe).unionByName(asked.join(some, same, "left_anti")), asked.join(some, same, "left_semi")
+
+
 # ---------------------------------------------------------------- pieces of a batch
 
 

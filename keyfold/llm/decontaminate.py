@@ -181,7 +181,5 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose text holds no span of the benchmark, with all their columns; a row goes by its own id and text."""
-    gone_id, gone_digest = C.new_names(docs, "gone_id", "gone_digest")
-    gone = hits_of(docs, bench, id_col, text_col).where(F.size("hits") > 0).select(F.col("id").alias(gone_id), F.col("digest").alias(gone_digest))
-    gone = C.saved(gone, "contaminated")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs[text_col]) == F.col(gone_digest)), "left_anti")
+    gone = hits_of(docs, bench, id_col, text_col).where(F.size("hits") > 0).select("id", "digest")
+    return C.rows_of(docs, C.saved(gone, "contaminated"), id_col, text_col)[0]

@@ -496,7 +496,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = C.saved(components(accepted), "joined")
     still_open = C.saved(_between(found.where(F.col("d") > sure), labels), "open-links")
     shingles = _shingles_of(own, marks, still_open, words)
-    most = 1
+    most = 4
     while not still_open.isEmpty():
         # the nearest links of each component first: what they join needs no further look
         ends = still_open.select("a", "b", "d", F.explode(F.array("of_a", "of_b")).alias("component"))
@@ -505,7 +505,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         accepted = accepted.unionByName(C.saved(_similar(chosen, shingles, similarity), "verified"))
         labels = C.saved(components(accepted), "joined")
         still_open = C.saved(_between(still_open.select("a", "b", "d").join(chosen, ["a", "b"], "left_anti"), labels), "open-links")
-        most *= 4
+        most *= 16
     return marks.select("id", "digest", "node").join(labels, "node", "left").select(F.col("id").alias(id_col), "digest", F.coalesce("label", "node").alias("component"))
 
 
@@ -529,6 +529,8 @@ def _shingles_of(own: DataFrame, marks: DataFrame, some: DataFrame, words: int)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([piece.column("node"), lists], ["node", "shingles"])
 
+    # texts that may be wanted; the others aren't shuffled
+    own = own.where(C.may_hold(wanted.select(C.row_hash(F.col("w_id"), F.col("w_digest")).alias("h")))(C.row_hash(own["id"], own["digest"])))
     texts = own.join(wanted, own["id"].eqNullSafe(wanted["w_id"]) & (own["digest"] == wanted["w_digest"])).select("node", "text")
     # rows that repeat id and text give the set again
     return C.saved(texts.mapInArrow(sets, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
@@ -550,12 +552,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     best = rows.groupBy("component").agg(F.min(own).alias("best"))
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.digest"))
-    gone_id, gone_digest = C.new_names(docs, "gone_id", "gone_digest")
-    marked = rows.join(best, "component").withColumn("kept", kept).where("not kept or n > 1")
-    marked = C.saved(marked.select(F.col("id").alias(gone_id), F.col("digest").alias(gone_digest), "kept"), "gone")
-    of_row = docs[id_col].eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs[text_col]) == F.col(gone_digest))
-    others = docs.join(marked.drop("kept"), of_row, "left_anti")
+    marked = C.saved(rows.join(best, "component").withColumn("kept", kept).where("not kept or n > 1").select("id", "digest", "kept"), "gone")
+    others, _ = C.rows_of(docs, marked.select("id", "digest"), id_col, text_col)
     # of rows that repeat id and text one stays: combined in the tasks, so that few are shuffled
-    repeated = docs.join(marked.where("kept").drop("kept"), of_row, "left_semi")
-    one = repeated.groupBy(F.col(id_col).alias(gone_id), F.xxhash64(text_col).alias(gone_digest)).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    _, repeated = C.rows_of(docs, marked.where("kept").select("id", "digest"), id_col, text_col)
+    own_id, own_digest = C.new_names(docs, "own_id", "own_digest")
+    one = repeated.groupBy(F.col(id_col).alias(own_id), F.xxhash64(text_col).alias(own_digest)).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
     return others.unionByName(one.select("row.*"))

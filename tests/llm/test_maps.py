@@ -89,12 +89,12 @@ def test_null_ids_link(spark):
 
 
 def test_drop_near_duplicates_of_odd_tables(spark, odd, none):
-    got = simhash.drop_near_duplicates(none.withColumnRenamed("source", "gone_id"))
-    assert got.columns == ["doc_id", "text", "gone_id", "bucket", "spans"] and got.count() == 0
+    got = simhash.drop_near_duplicates(none.withColumnRenamed("source", "some_id"))
+    assert got.columns == ["doc_id", "text", "some_id", "bucket", "spans"] and got.count() == 0
     assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(odd).collect()) == ["1", "3", "4", "5", "6", "7", "8", "None"]
     t, u = "one text of some words that is here more than once", "another text that is not like the first in any way"
     rows = [(1, t), (1, t), (2, t), (1, u), (7, u), (7, "this one stands alone"), (None, t), (None, "no id but unlike all of the others"), (None, "no id but unlike all of the others")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone_digest", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("some_digest", F.lit(1))
     got = simhash.drop_near_duplicates(df).collect()
     assert sorted(str(r.doc_id) + r.text for r in got) == sorted([f"1{t}", f"1{u}", "7this one stands alone", "Noneno id but unlike all of the others"])
 
@@ -306,3 +306,17 @@ def test_secrets_in_wider_windows():
         assert kinds(f"a {before}{key} b")["key64"] == key
     assert kinds(f"a {token} b") == {"jwt": token} and kinds(f"x.{token}") == {"jwt": token}
     assert not kinds("M" * 5000 + " " + "MIIEvAIB" * 500)
+
+
+def test_rows_by_id_and_text(spark):
+    rows = [(i % 40 if i % 7 else None, f"text {i % 9}" if i % 5 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    some = [(None, "text 1"), (3, "text 3"), (12, None), (None, None), (5, "not there")]
+    wanted = spark.createDataFrame(some, "id long, text string").select("id", F.xxhash64("text").alias("digest"))
+    without, with_ = C.rows_of(df, wanted, "id", "text")
+    text = lambda x: sorted(map(str, map(tuple, x)))
+    assert text(with_.collect()) == text(r for r in rows if r in some) and text(without.collect()) == text(r for r in rows if r not in some)
+    assert C.rows_of(df, wanted.limit(0), "id", "text")[0].count() == 400
+    maybe = C.may_hold(spark.range(0, 3000, 3).select(F.xxhash64("id").alias("h")), bits=1 << 12)
+    got = {r.id for r in spark.range(3000).where(maybe(F.xxhash64("id"))).collect()}
+    assert set(range(0, 3000, 3)) <= got and len(got) < 2000
