@@ -31,14 +31,18 @@ def sessions(log: DataFrame) -> DataFrame:
 
 def watched(log: DataFrame) -> DataFrame:
     """(conn, txn, db, key, watch_seq, exec_seq): keys that an EXEC has to find unchanged. EXEC, DISCARD and UNWATCH drop watches."""
-    rows = sessions(log)
-    ends = rows.where("role in ('exec', 'discard') or name = 'UNWATCH' and role = 'none'").select("conn", F.col("seq").alias("end"))
-    watch = rows.where("name = 'WATCH' and role = 'none'").select("conn", "db", "seq", F.explode(F.concat(F.array("key"), "args")).alias("key"))
-    marks = watch.select("conn", "seq", "db", "key", F.lit(None).cast("long").alias("end")).unionByName(ends.select("conn", F.col("end").alias("seq"), F.lit(None).cast("int").alias("db"), F.lit(None).cast("string").alias("key"), "end"))
-    following = F.first("end", ignorenulls=True).over(_conn().rowsBetween(1, Window.unboundedFollowing))
-    closed = marks.withColumn("exec_seq", following).where("key is not null and exec_seq is not null")
-    execs = rows.where("role = 'exec'").select("conn", "txn", F.col("seq").alias("exec_seq"))
-    return closed.join(execs, ["conn", "exec_seq"]).select("conn", "txn", "db", "key", F.col("seq").alias("watch_seq"), "exec_seq")
+    return _watched(sessions(log))
+
+
+def _watched(rows: DataFrame) -> DataFrame:
+    """watched, of rows of sessions."""
+    end = F.when(F.col("role").isin("exec", "discard") | (F.col("name") == "UNWATCH") & (F.col("role") == "none"), F.struct("seq", "role", "txn"))
+    keys = F.when((F.col("name") == "WATCH") & (F.col("role") == "none"), F.concat(F.array("key"), "args"))
+    marks = rows.select("conn", "db", "seq", end.alias("end"), keys.alias("keys")).where("end is not null or keys is not null")
+    # backwards: a frame that runs to the end of its partition is worked out anew for each row
+    following = F.last("end", ignorenulls=True).over(Window.partitionBy("conn").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1))
+    closed = marks.withColumn("following", following).where("keys is not null and following.role = 'exec'")
+    return closed.select("conn", "following.txn", "db", F.explode("keys").alias("key"), F.col("seq").alias("watch_seq"), F.col("following.seq").alias("exec_seq")).where("key is not null")
 
 
 def _scopes(key: Column, db: Column) -> Column:

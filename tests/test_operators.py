@@ -406,6 +406,15 @@ def test_a_watch_sees_every_write(spark, write):
     assert {r.exec_seq: r.aborted for r in transactions.outcomes(_log(spark, queued)).collect()} == {3: False, 5: True}
 
 
+def test_watches_are_closed_by_what_comes_next(spark):
+    text = ["WATCH a b", "WATCH a", "GET a", "MULTI", "WATCH c", "UNWATCH", "EXEC", "WATCH a", "UNWATCH", "WATCH b", "MULTI", "DISCARD", "WATCH c", "EXEC", "MULTI", "EXEC", "WATCH a", "MULTI"]
+    found = transactions.watched(_log(spark, [(1, x) for x in text] + [(2, x) for x in text[:7]]))
+    want = [(1, 1, "a", 0, 6), (1, 1, "a", 1, 6), (1, 1, "b", 0, 6), (1, 3, "c", 12, 15), (2, 1, "a", 18, 24), (2, 1, "a", 19, 24), (2, 1, "b", 18, 24)]
+    assert sorted((r.conn, r.txn, r.key, r.watch_seq, r.exec_seq) for r in found.collect()) == want
+    # such a frame takes time by the square of a connection's commands
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_procedures(spark):
     sha = procedures.sha_of("rate_limit")
     calls = table(spark, [("a", i, i * 400) for i in range(6)], "client string, call long, ms long")
