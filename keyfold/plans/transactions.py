@@ -65,7 +65,7 @@ def conflicts(log: DataFrame, period: int = 1024) -> tuple[DataFrame, DataFrame,
     bounds, so a key that is written all the time meets each watch only while it is open.
     """
     rows = written(sessions(log), "sessions")
-    watches = watched(log).select("exec_seq", "watch_seq", F.explode(_scopes(F.col("key"), F.col("db"))).alias("scope")).groupBy("exec_seq", "scope").agg(F.min("watch_seq").alias("watch_seq"))
+    watches = _watched(rows).select("exec_seq", "watch_seq", F.explode(_scopes(F.col("key"), F.col("db"))).alias("scope")).groupBy("exec_seq", "scope").agg(F.min("watch_seq").alias("watch_seq"))
     span = F.sequence(F.floor(F.col("watch_seq") / period), F.floor(F.col("exec_seq") / period))
     watches = written(watches.select("exec_seq", "watch_seq", "scope", F.explode(span).alias("period")), "watches")
     execs = rows.where("role = 'exec'").select("conn", "txn", F.col("seq").alias("at"))
