@@ -89,7 +89,11 @@ def outcomes(log: DataFrame) -> DataFrame:
     those that they break are aborted, and both leave with their edges, until no edge is
     left. An edge leads to a later EXEC, so each round settles the earliest at least.
     """
-    rows, broken, edges = conflicts(log)
+    return _settled(*conflicts(log))
+
+
+def _settled(rows: DataFrame, broken: DataFrame, edges: DataFrame) -> DataFrame:
+    """outcomes, of what conflicts gives."""
     parts = [broken]
 
     def without(some: DataFrame, gone: DataFrame) -> DataFrame:
@@ -114,7 +118,7 @@ def outcomes(log: DataFrame) -> DataFrame:
 
 def effective(log: DataFrame) -> DataFrame:
     """The commands that take effect, with `at`, the seq of their effect: queued ones of committed transactions at their EXEC."""
-    rows = sessions(log)
-    done = outcomes(log).where("not aborted").select("conn", "txn", "exec_seq")
+    rows, broken, edges = conflicts(log)
+    done = _settled(rows, broken, edges).where("not aborted").select("conn", "txn", "exec_seq")
     queued = rows.where("role = 'queued'").join(done, ["conn", "txn"]).withColumn("at", F.col("exec_seq"))
     return rows.where("role = 'none'").withColumn("at", F.col("seq")).unionByName(queued.select(*rows.columns, "at"))

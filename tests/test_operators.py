@@ -415,14 +415,14 @@ def test_watches_are_closed_by_what_comes_next(spark):
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
-@pytest.mark.parametrize("job", ["outcomes"])
-def test_sessions_are_worked_out_once(spark, monkeypatch, job):
+@pytest.mark.parametrize(("job", "n"), [("outcomes", 2), ("effective", 4)])
+def test_sessions_are_worked_out_once(spark, monkeypatch, job, n):
     calls, plain = [], transactions.sessions
     monkeypatch.setattr(transactions, "sessions", lambda log: calls.append(log) or plain(log))
     rows = [(1, "WATCH a"), (2, "SET a 1"), (1, "MULTI"), (1, "SET b 1"), (1, "EXEC"), (3, "WATCH b"), (3, "MULTI"), (3, "SET c 1"), (3, "EXEC")]
     found = getattr(transactions, job)(_log(spark, rows))
     assert len(calls) == 1
-    assert found.count() == 2
+    assert found.count() == n
 
 
 def test_procedures(spark):
