@@ -18,8 +18,8 @@ from keyfold.sources.command_log import CommandLog
 from keyfold.streaming import jobs
 
 
-def _events(t: Tables) -> DataFrame:
-    return jobs.as_stream(f"{t.sf_dir}/event[s].parquet", t.table("events")).withColumn("ts", jobs.utc("ts"))
+def _events(t: Tables, files: int | None = 64) -> DataFrame:
+    return jobs.as_stream(f"{t.sf_dir}/event[s].parquet", t.table("events"), files).withColumn("ts", jobs.utc("ts"))
 
 
 def _ran(t: Tables, stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -53,7 +53,8 @@ def streaming_router(t: Tables) -> DataFrame:
 
 @query("SELECT key, ms, event_id AS seq, 'w' || (n % 3) AS consumer, n AS nth FROM (SELECT event_type AS key, epoch_us(ts) // 1000 AS ms, event_id, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS n FROM events)")
 def streaming_group_delivery(t: Tables) -> DataFrame:
-    entries = _events(t).select(F.col("event_type").alias("key"), F.floor(F.unix_micros("ts") / 1000).cast("long").alias("ms"), F.col("event_id").alias("seq"))
+    """All files are one batch, as the entries of a later one may have lower ids and would be late."""
+    entries = _events(t, files=None).select(F.col("event_type").alias("key"), F.floor(F.unix_micros("ts") / 1000).cast("long").alias("ms"), F.col("event_id").alias("seq"))
     return _ran(t, jobs.group_delivery(entries, 3)).where("not late").select("key", "ms", "seq", "consumer", "nth")
 
 

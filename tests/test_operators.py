@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from keyfold.functions import glob, ids
 from keyfold.operators import admin, keyspace, lists, pubsub, sets, streams, strings, zsets
-from keyfold.plans import fold, procedures, transactions
+from keyfold.plans import fold, live, procedures, transactions  # noqa: F401
+from keyfold.plans.registry import QUERIES
 from keyfold.sources import command_log, snapshot
 from keyfold.streaming import jobs
 
@@ -513,3 +514,30 @@ def test_late_entries_are_told(spark, tmp_path):
     jobs.run_available(jobs.group_delivery(stream, 2), f"{tmp_path}/out", f"{tmp_path}/c")
     got = sorted((r.ms, r.late, r.consumer) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(1, False, "w0"), (2, False, "w1"), (3, True, None), (5, False, "w0"), (6, False, "w1"), (6, True, None)]
+
+
+def test_delivery_deals_a_key_over_tasks(spark):
+    rng = random.Random(6)
+    batches = [[(rng.choice(["a", "b", None]), rng.randrange(40 * i, 40 * i + 60), rng.randrange(3)) for _ in range(200)] for i in range(3)]
+    job = jobs.group_delivery(None, 3)
+    state, cursor, nth, got, want = spark.createDataFrame([], job.state), {}, {}, [], []
+    for rows in batches:
+        told, state = job.step(table(spark, rows, "key string, ms long, seq long"), state)
+        assert "pandas" not in told._jdf.queryExecution().executedPlan().toString().lower()
+        got += [tuple(r) for r in told.select("key", "ms", "seq", "consumer", "nth", "late").collect()]
+        for k, *own in sorted(rows, key=lambda r: r[1:]):
+            late = own <= cursor.get(k, [-1, -1])
+            if not late:
+                cursor[k], nth[k] = own, nth.get(k, -1) + 1
+            want.append((k, *own, None if late else f"w{nth[k] % 3}", None if late else nth[k], late))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {r.key: ([r.ms, r.seq], r.nth) for r in state.collect()} == {k: (cursor[k], nth[k] + 1) for k in cursor}
+
+
+def test_delivery_of_many_files_out_of_order_is_whole(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(70, "event_id").write.option("maxRecordsPerFile", 10).parquet(f"{tmp_path}/events.parquet")
+    assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) > 64
+    got = QUERIES["streaming_group_delivery"](spark, str(tmp_path))
+    want = QUERIES["streaming_group_delivery"](spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == events.count()
